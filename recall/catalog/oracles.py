@@ -193,7 +193,7 @@ seeds AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position,
       count(*) OVER (PARTITION BY user_id) AS peers
-    FROM mem)
+    FROM mem WHERE embedding IS NOT NULL)
   WHERE position <= 200 AND peers > 1),
 asked AS (SELECT id AS query_id, embedding AS vector FROM seeds WHERE embedding IS NOT NULL AND content <> ''),
 {_near("asked", "mem", 10)}
@@ -354,7 +354,8 @@ ORACLES: dict[str, str] = {
         SELECT user_id, sha256(content) AS content_hash, source_ids, insight_type, round(confidence, 6) AS confidence FROM insights""",
     "consolidate_results": f"""WITH RECURSIVE {MEM}, {SEEDS}, {CLUSTERS}
         SELECT m.user_id, count(*) AS processed_count,
-          (SELECT count(*) FROM clusters c WHERE c.user_id = m.user_id) AS merged_count FROM mem m GROUP BY m.user_id""",
+          (SELECT count(*) FROM clusters c WHERE c.user_id = m.user_id) AS merged_count
+        FROM mem m WHERE m.embedding IS NOT NULL GROUP BY m.user_id""",
     "consolidate_contradictions": f"""WITH {MEM}, {SEEDS}, {PAIRS}
         SELECT user_id, fact_id, correction_id, fact_excerpt, correction_excerpt, round(score, 6) AS score FROM pairs""",
     "text_excerpt": f"SELECT doc_id, {EXCERPT} AS excerpt FROM (SELECT doc_id, text AS content FROM documents)",

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from recall.functions import metadata, text
 from recall.operators import consolidate, embed, graph, ingest, listing, maintain, profile, rank, search, stats
-from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids
+from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids, with_embedding
 from recall.operators.triples import entity_id, entity_type, extract_triples
-from recall.plans.checkpoint import scratch_folder
+from recall.plans.checkpoint import durable, scratch_folder
 from recall.schema import CORRECTION, FACT, SCOPE
 from recall.sources import fixtures
 from recall.streaming import jobs
@@ -380,9 +380,14 @@ def hybrid_rank(spark: SparkSession, folder: str) -> DataFrame:
 SCOPE_OF_CYCLE = ("user_id",)
 
 
+def _with_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Only memories with a vector can be searched with or found."""
+    return with_embedding(fixtures.memories(spark, folder))
+
+
 def _seeds_and_neighbours(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    m = fixtures.memories(spark, folder)
-    seeds = consolidate.find_seeds(m, SCOPE_OF_CYCLE)
+    m = _with_vectors(spark, folder)
+    seeds = durable(consolidate.find_seeds(m, SCOPE_OF_CYCLE))
     return seeds, consolidate.find_neighbours(seeds, m, LOW_THRESHOLD, SCOPE_OF_CYCLE)
 
 
@@ -394,7 +399,7 @@ def consolidate_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cycle(spark: SparkSession, folder: str) -> consolidate.Consolidation:
     return consolidate.consolidate(
-        fixtures.memories(spark, folder), SCOPE_OF_CYCLE, threshold=LOW_THRESHOLD, cutoff=LOW_THRESHOLD, now=NOW
+        _with_vectors(spark, folder), SCOPE_OF_CYCLE, threshold=LOW_THRESHOLD, cutoff=LOW_THRESHOLD, now=NOW
     )
 
 
@@ -421,6 +426,16 @@ def consolidate_contradictions(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("score", six("score"))
 
 
+@registered
+def consolidate_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among the documents, by their own vectors and the default thresholds."""
+    m = fixtures.memories(spark, folder).drop("embedding")
+    embedded = durable(embed.embed_distinct(m, embed.HashingEmbedder(DIMENSIONS)))
+    return consolidate.consolidate(embedded, ("agent_id",), now=NOW).insights.select(
+        "agent_id", F.array_join("source_ids", ",").alias("source_ids"), "insight_type", six("confidence").alias("confidence")
+    )
+
+
 @registered
 def text_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.table(spark, folder, "documents").select(
@@ -439,6 +454,11 @@ def _star_graph(spark: SparkSession, folder: str) -> graph.Graph:
     return graph.build(fixtures.star_sentences(spark, folder), now=NOW)
 
 
+def _star_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The relations as a stored table, for queries that read it several times."""
+    return durable(_star_graph(spark, folder).relations)
+
+
 @registered
 def graph_triples(spark: SparkSession, folder: str) -> DataFrame:
     return extract_triples(fixtures.document_texts(spark, folder)).select("memory_id", "subject", "predicate", "object")
@@ -519,7 +539,7 @@ def graph_find(spark: SparkSession, folder: str) -> DataFrame:
     colours = fixtures.table(spark, folder, "part").select(F.upper(F.split("p_name", " ")[0]).alias("query"))
     empty = fixtures.table(spark, folder, "region").select(F.lit("").alias("query"))
     queries = nations.union(sizes).union(colours).union(empty).distinct().withColumn("query_id", F.col("query"))
-    return graph.find_entities_batch(queries, _star_graph(spark, folder).entities, 10)
+    return graph.find_entities_batch(queries, durable(_star_graph(spark, folder).entities), 10)
 
 
 def _places(spark: SparkSession, folder: str, name: str, column: str) -> DataFrame:
@@ -538,20 +558,20 @@ def graph_relations_of(spark: SparkSession, folder: str) -> DataFrame:
 def graph_khop2(spark: SparkSession, folder: str) -> DataFrame:
     g = _star_graph(spark, folder)
     nations = _places(spark, folder, "nation", "n_name")
-    return graph.neighbours(nations, g.relations, g.entities, 2).select("start_id", "id", "name", "distance")
+    return graph.neighbours(nations, durable(g.relations), g.entities, 2).select("start_id", "id", "name", "distance")
 
 
 @registered
 def graph_khop3(spark: SparkSession, folder: str) -> DataFrame:
     g = _star_graph(spark, folder)
     regions = _places(spark, folder, "region", "r_name")
-    return graph.neighbours(regions, g.relations, g.entities, 3).select("start_id", "id", "distance")
+    return graph.neighbours(regions, durable(g.relations), g.entities, 3).select("start_id", "id", "distance")
 
 
 @registered
 def graph_khop_edges(spark: SparkSession, folder: str) -> DataFrame:
     nations = _places(spark, folder, "nation", "n_name")
-    return graph.neighbour_relations(nations, _star_graph(spark, folder).relations, 2).select(
+    return graph.neighbour_relations(nations, _star_relations(spark, folder), 2).select(
         "start_id", "id", "from_id", "to_id"
     )
 

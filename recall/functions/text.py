@@ -15,6 +15,8 @@ WHITESPACE = (
 # Punctuation dropped from the end of a name.
 TRAILING_PUNCTUATION = ".,;:!?"
 
+PAIRED_QUOTES = r"""(?s)\A"(.*)"\z|\A'(.*)'\z"""
+
 
 def trimmed(c: Column) -> Column:
     """Strip Unicode white space on both ends (plain ``trim`` strips blanks only)."""
@@ -28,7 +30,8 @@ def lowered(c: Column) -> Column:
     is contextual or longer on the JVM; mapping them first keeps positions in
     the lower-cased text equal to positions in the original.
     """
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    mapped = F.when(c.contains("İ") | c.contains("Σ"), F.translate(c, "İΣ", "iσ")).otherwise(c)
+    return F.lower(mapped)
 
 
 def content_hash(c: Column) -> Column:
@@ -70,14 +73,7 @@ def clean_name(c: Column) -> Column:
 
     The quote step comes first: a quoted name followed by a full stop keeps its quotes.
     """
-    t = trimmed(c)
-    in_quotes = F.lit(False)
-    for q in ('"', "'"):
-        in_quotes = in_quotes | (t.startswith(q) & t.endswith(q))
-    bare = F.when(
-        (F.octet_length(t) >= 2) & in_quotes,
-        F.substring(t, F.lit(2), F.char_length(t) - 2),
-    ).otherwise(t)
+    bare = F.regexp_replace(trimmed(c), PAIRED_QUOTES, "$1$2")
     return trimmed(F.rtrim(bare, F.lit(TRAILING_PUNCTUATION)))
 
 

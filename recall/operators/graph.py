@@ -141,8 +141,21 @@ def build(
     order: str = "memory_id",
     now: datetime | str | Column | None = None,
 ) -> Graph:
-    """Add a batch of texts to a graph. ``order`` is the column that orders the texts."""
-    triples = extract_triples(texts)
+    """Add a batch of texts to a graph. ``order`` is the column that orders the texts.
+
+    The triples are written down first: all three tables come from them, and the
+    texts are read once.
+    """
+    return from_triples(durable(extract_triples(texts)), stored, order, now)
+
+
+def from_triples(
+    triples: DataFrame,
+    stored: Graph | None = None,
+    order: str = "memory_id",
+    now: datetime | str | Column | None = None,
+) -> Graph:
+    """Add triples to a graph."""
     return Graph(
         upsert_entities(stored and stored.entities, entities_of(triples, order, now)),
         merge_mentions(stored and stored.mentions, mentions_of(triples, order, now)),

@@ -9,32 +9,23 @@ row matching a wildcard scope" into one ordinary, partially aggregated
 
 from __future__ import annotations
 
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall.schema import SCOPE
 
+BITS = {c: 1 << i for i, c in enumerate(SCOPE)}
+# All choices of dimensions to blank; 0 is the row's own scope.
+BLANKINGS = range(1 << len(SCOPE))
 
-def _blanked_scopes(only_own: Column) -> Column:
-    """Array of the scopes a row answers for; just its own where ``only_own`` holds."""
-    own = F.struct(*[F.col(c) for c in SCOPE], F.lit(True).alias("own"))
-    variants = [own]
-    for keep in product((True, False), repeat=len(SCOPE)):
-        dropped = [c for c, k in zip(SCOPE, keep) if not k]
-        if not dropped:
-            continue
-        # Blanking an unset dimension changes nothing; skip those repeats.
-        useful = F.lit(True)
-        for c in dropped:
-            useful = useful & (F.col(c) != "")
-        variant = F.struct(
-            *[(F.col(c) if k else F.lit("")).alias(c) for c, k in zip(SCOPE, keep)],
-            F.lit(False).alias("own"),
-        )
-        variants.append(F.when(useful & ~only_own, variant))
-    return F.array_compact(F.array(*variants))
+
+def _unset() -> Column:
+    """Bits of the dimensions a row does not set."""
+    return reduce(
+        Column.bitwiseOR, [F.when(F.col(c) == "", F.lit(b)).otherwise(F.lit(0)) for c, b in BITS.items()]
+    )
 
 
 def earliest_in_scope(rows: DataFrame, order: str, own_scopes_only: bool = False) -> DataFrame:
@@ -55,7 +46,22 @@ def earliest_in_scope(rows: DataFrame, order: str, own_scopes_only: bool = False
         only_own = F.col("_scopes").isNull()
     else:
         only_own = F.lit(False)
-    wide = groups.select("content_hash", "first", F.inline(_blanked_scopes(only_own)))
+    everything = F.array(*[F.lit(b) for b in BLANKINGS])
+    blanking = F.explode(F.when(only_own, F.array(F.lit(0))).otherwise(everything))
+    wide = (
+        groups.select(*keys, "first", blanking.alias("_blank"))
+        # Blanking an unset dimension changes nothing; leave such repeats out.
+        .where(F.col("_blank").bitwiseAND(_unset()) == 0)
+        .select(
+            "content_hash",
+            "first",
+            *[
+                F.when(F.col("_blank").bitwiseAND(b) == 0, F.col(c)).otherwise(F.lit("")).alias(c)
+                for c, b in BITS.items()
+            ],
+            (F.col("_blank") == 0).alias("own"),
+        )
+    )
     earliest = wide.groupBy(*keys).agg(F.min("first").alias("first"), F.max("own").alias("own"))
     if own_scopes_only:
         earliest = earliest.where("own")

@@ -42,7 +42,8 @@ SHORTEST_SENTENCE = 5
 SHORTEST_NAME = 2
 LONGEST_NAME = 100
 
-ANY_MARKER = "|".join(marker for marker, _ in MARKERS)
+# Passes every text that holds a marker in some case; the exact test follows it.
+MAY_MATCH = "(?iu) (?:" + "|".join(marker.strip() for marker, _ in MARKERS) + ") "
 
 
 def extract_triples(texts: DataFrame) -> DataFrame:
@@ -53,38 +54,42 @@ def extract_triples(texts: DataFrame) -> DataFrame:
     flat map: it runs on streams as it does on tables.
     """
     carried = [c for c in texts.columns if c != "content"]
-    patterns = F.array(
-        *[
-            F.struct(F.lit(m).alias("marker"), F.lit(p).alias("predicate"))
-            for m, p in MARKERS
-        ]
-    )
     sentences = (
         # Most texts and sentences hold no marker and leave here.
-        texts.where(text.lowered(F.col("content")).rlike(ANY_MARKER))
+        texts.where(F.col("content").rlike(MAY_MATCH))
         .select(*carried, F.posexplode(text.sentences(F.col("content"))).alias("sentence_pos", "_raw"))
+        .where(F.col("_raw").rlike(MAY_MATCH))
         .select(*carried, "sentence_pos", text.trimmed(F.col("_raw")).alias("_sentence"))
+        .where(F.octet_length("_sentence") >= SHORTEST_SENTENCE)
         .withColumn("_lower", text.lowered(F.col("_sentence")))
-        .where((F.octet_length("_sentence") >= SHORTEST_SENTENCE) & F.col("_lower").rlike(ANY_MARKER))
     )
-    at = F.position(F.col("_pattern.marker"), F.col("_lower"))
-    matched = (
-        sentences.select("*", F.posexplode(patterns).alias("pattern_pos", "_pattern"))
-        .withColumn("_at", at)
-        .where(F.col("_at") > 0)
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col("_lower").contains(marker),
+                    F.struct(
+                        F.lit(number).alias("pattern_pos"),
+                        F.lit(predicate).alias("predicate"),
+                        F.locate(marker, F.col("_lower")).alias("_at"),
+                        F.lit(len(marker)).alias("_length"),
+                    ),
+                )
+                for number, (marker, predicate) in enumerate(MARKERS)
+            ]
+        )
     )
+    matched = sentences.select(*carried, "sentence_pos", "_sentence", F.inline(hits))
     subject = F.substring(F.col("_sentence"), F.lit(1), F.col("_at") - 1)
-    rest = F.col("_at") + F.char_length(F.col("_pattern.marker"))
-    object_ = F.substring(F.col("_sentence"), rest, F.char_length("_sentence"))
-    named = matched.select(
-        *carried,
-        "sentence_pos",
-        "pattern_pos",
-        text.clean_name(subject).alias("subject"),
-        F.col("_pattern.predicate").alias("predicate"),
-        text.clean_name(object_).alias("object"),
+    object_ = F.substring(F.col("_sentence"), F.col("_at") + F.col("_length"), F.char_length("_sentence"))
+    # As an array element, a name is worked out once, not again for the size test.
+    named = F.struct(
+        text.clean_name(subject).alias("subject"), "predicate", text.clean_name(object_).alias("object")
+    )
+    return (
+        matched.select(*carried, "sentence_pos", "pattern_pos", F.inline(F.array(named)))
+        .where(_fits(F.col("subject")) & _fits(F.col("object")))
     )
-    return named.where(_fits(F.col("subject")) & _fits(F.col("object")))
 
 
 def _fits(name: Column) -> Column:

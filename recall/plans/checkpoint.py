@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names (``spark.checkpoint.dir``).
+    """The folder the session names in ``spark.checkpoint.dir``.
 
     Only a local session that names none gets a temporary one.
     """
@@ -19,7 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="recall-checkpoint-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -30,6 +29,12 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and read it from there from now on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and read it from there from now on.
+
+    As a Parquet table it keeps column pruning, and its size is known to the
+    planner, which picks join strategies by it.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

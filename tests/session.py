@@ -8,6 +8,7 @@ def local_session() -> SparkSession:
         "recall-tests",
         "local[8]",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",
         spark__sql__shuffle__partitions="8",
     )
