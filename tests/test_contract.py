@@ -1,0 +1,32 @@
+"""The driver's contract, and agreement with SQL on the smallest tables."""
+
+import pytest
+
+import __spark_entry__ as contract
+from tests.compare import connect, difference
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_entry(spark):
+    assert contract.entry(spark).limit(1).count() == 1
+
+
+def test_only_embeddings_by_text_go_without_sql():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"text_search", "consolidate_texts"}
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_query(spark, db, name):
+    ours = contract.queries()[name](spark, FOLDER).toPandas()
+    sql = contract.oracle_sql().get(name)
+    if sql is None:
+        assert len(ours)
+    else:
+        assert difference(ours, db.sql(sql).df()) is None

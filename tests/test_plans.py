@@ -1,0 +1,60 @@
+"""Shape of the physical plans: what reaches the scan and how data moves."""
+
+import pytest
+
+import __spark_entry__ as contract
+from recall.operators import listing, stats
+from recall.operators.filters import MemoryFilter
+from recall.sources import snapshots
+from recall.operators import ingest, search
+from tests.data import START, memories, memory
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("memories"))
+    snapshots.write_version(memories(spark, [memory(f"{i}", embedding=[1.0, float(i)]) for i in range(50)]), root)
+    return snapshots.read_memories(spark, root)
+
+
+def test_filters_reach_the_scan(stored):
+    plan = plan_of(MemoryFilter(user_id="u", since=START).apply(stored).select("id"))
+    assert "EqualTo(user_id,u)" in plan and "GreaterThanOrEqual(created_at" in plan
+    assert "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_lists_and_statistics_do_not_read_vectors(stored):
+    for df in (listing.page(stored), stats.summary(stored), stats.count_by_user(stored)):
+        assert "embedding" not in plan_of(df).split("ReadSchema")[1].split("\n")[0]
+    assert "TakeOrderedAndProject" in plan_of(listing.page(stored))
+    assert plan_of(stats.count_by_type(stored)).count("Exchange") == 1
+
+
+def test_rank_limits_apply_on_the_map_side(stored):
+    assert plan_of(listing.newest_per_scope(stored, ["user_id"], 5)).count("WindowGroupLimit") == 2
+
+
+def test_search_never_shuffles_memories(spark, stored):
+    queries = stored.limit(3).selectExpr("id AS query_id", "embedding")
+    hits = search.knn(queries, stored, 2)
+    plan = plan_of(hits)
+    # One exchange, above the search, of the few best rows of each task.
+    assert plan.count("Exchange") == 1
+    assert plan.index("Exchange") < plan.index("MapInArrow")
+
+
+def test_dedup_pre_aggregates(spark, stored):
+    plan = plan_of(ingest.dedup(stored.withColumn("n", stored["id"].cast("long")), "n"))
+    assert "partial_min(" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in contract.queries() if not n.startswith("stream")))
+def test_no_query_pairs_rows_without_a_key(spark, name):
+    plan = plan_of(contract.queries()[name](spark, FOLDER))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

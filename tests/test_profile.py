@@ -1,0 +1,56 @@
+from datetime import datetime
+
+from recall.operators import profile
+from tests.data import hours
+
+START = datetime(2024, 1, 1)
+SEEN = "user_id string, key string, value string, ts timestamp, seq long"
+
+
+def observations(spark, rows):
+    return spark.createDataFrame([(u, k, v, START + hours(t), i) for i, (u, k, v, t) in enumerate(rows)], SEEN)
+
+
+ROWS = [
+    ("u", "language", "Python", 0),
+    ("u", "language", "Go", 5),
+    ("u", "language", "Rust", 5),
+    ("u", "editor", "vim", 1),
+    ("u", "editor", "emacs", 0),
+    ("u", "os", "linux", 2),
+    ("v", "os", "mac", 2),
+]
+
+
+def test_traits(spark):
+    got = {(r.user_id, r.key): r for r in profile.observe(observations(spark, ROWS)).collect()}
+    language = got["u", "language"]
+    assert (language.value, language.occurrences) == ("Rust", 3)
+    assert (language.first_seen, language.last_seen) == (START, START + hours(5))
+    assert got["u", "editor"].value == "vim"
+    assert {r.user_id: r.traits for r in profile.count(profile.observe(observations(spark, ROWS))).collect()} == {"u": 3, "v": 1}
+
+
+def test_merging_equals_observing_at_once(spark):
+    seen = observations(spark, ROWS)
+    merged = profile.merge(profile.observe(seen.where("ts < '2024-01-01 02:00:00'")), profile.observe(seen.where("ts >= '2024-01-01 02:00:00'")))
+    assert sorted(merged.collect()) == sorted(profile.observe(seen).select(*merged.columns).collect())
+
+
+def test_top_and_lookup(spark):
+    traits = profile.observe(observations(spark, ROWS))
+    top = profile.top(traits, 2).where("user_id = 'u'").orderBy("rank").collect()
+    assert [(r.key, r.rank) for r in top] == [("language", 1), ("editor", 2)]
+    assert profile.top(traits, 99).count() == 4
+    keys = spark.createDataFrame([("u", "os"), ("u", "shell")], "user_id string, key string")
+    assert {r.key: r.value for r in profile.lookup(keys, traits).collect()} == {"os": "linux", "shell": None}
+
+
+def test_summary(spark):
+    traits = profile.observe(observations(spark, ROWS + [("many", f"k{i:02}", "x", 0) for i in range(12)]))
+    users = spark.createDataFrame([("u",), ("nobody",), ("many",)], "user_id string")
+    got = {r.user_id: r.summary for r in profile.summaries(traits, users).collect()}
+    assert got["u"] == "Profile for u:\n- language: Rust\n- editor: vim\n- os: linux\n"
+    assert got["nobody"] == "No profile data yet."
+    assert got["many"].count("\n") == 11
+    assert profile.summaries(traits).count() == 3
