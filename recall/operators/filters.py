@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recall.operators.scope import earliest_in_scope
+from recall.plans.grouping import grouped
 from recall.schema import MEMORY_TYPES, SCOPE
 
 
@@ -85,7 +86,7 @@ def lookup_hashes(
     wanted = lookups.withColumns({c: F.lit("") for c in missing})
     candidates = (
         apply_filter(memories, flt)
-        .join(lookups.select("content_hash").distinct(), "content_hash", "left_semi")
+        .join(grouped(lookups, ["content_hash"]), "content_hash", "left_semi")
         .withColumn("_first", F.struct("created_at", "id"))
     )
     earliest = earliest_in_scope(candidates, "_first").select(

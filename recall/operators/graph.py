@@ -12,6 +12,7 @@ from recall.functions import text
 from recall.functions.times import instant
 from recall.operators.triples import entity_id, entity_type, extract_triples, relation_id
 from recall.plans.checkpoint import durable
+from recall.plans.grouping import grouped
 from recall.schema import DEFAULT_GRAPH_LIMIT, positive_or
 
 GRAM = 3
@@ -219,14 +220,12 @@ def find_entities_batch(queries: DataFrame, entities: DataFrame, limit: int | No
     asked = queries.select("query_id", text.lowered(F.col("query")).alias("_query"))
     keys = F.when(F.char_length("_query") >= GRAM, _grams(F.col("_query"), GRAM)).otherwise(F.array("_query"))
     asked_keys = asked.select("query_id", "_query", F.explode(keys).alias("_gram"))
-    wanted = asked_keys.select("_gram").distinct()
 
     lower_name = text.lowered(F.col("name"))
     all_runs = F.concat(*[_grams(F.col("_lower"), n) for n in range(1, GRAM + 1)])
     runs = (
         entities.select("id", "name", lower_name.alias("_lower"))
         .select("*", F.explode(all_runs).alias("_gram"))
-        .join(wanted, "_gram", "left_semi")
     )
     # The empty query finds every name; its page needs only the first ones.
     first_names = (
@@ -253,7 +252,7 @@ def _ends(relations: DataFrame) -> DataFrame:
 
 def relations_of(ids: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations touching each requested entity, at either end, with ``entity_id``."""
-    wanted = ids.select(F.col("id").alias("entity_id")).distinct()
+    wanted = grouped(ids.select(F.col("id").alias("entity_id")), ["entity_id"])
     return _ends(relations).join(wanted, "entity_id")
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from recall.functions import metadata, text
 from recall.functions.times import instant
-from recall.operators.embed import Embedder, embed_distinct, embedding_problem
+from recall.operators.embed import Embedder, embed_texts, embedding_problem
 from recall.operators.filters import is_valid_type
 from recall.operators.scope import earliest_in_scope
+from recall.plans.checkpoint import durable
+from recall.plans.grouping import grouped
 from recall.schema import MEMORIES, SCOPE
 
 INVALID_TYPE = "invalid memory type"
@@ -22,7 +24,7 @@ EMPTY_CONTENT = "content cannot be empty"
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Lazy outcome of one batch.
+    """Outcome of one batch.
 
     ``new_rows`` has the memories schema, ``duplicates`` maps every repeated
     input row to the id it repeats, ``rejects`` has the input rows that were
@@ -101,42 +103,40 @@ def ingest(
     """
     stamp = instant(now)
     checked = with_hash(validate(normalised(batch)))
-    refused = checked.where(F.col("reason").isNotNull())
-    accepted = checked.where(F.col("reason").isNull())
     if "id" not in batch.columns:
-        accepted = accepted.withColumn("id", _memory_id(batch_id, SCOPE))
-
+        checked = checked.withColumn("id", _memory_id(batch_id, SCOPE))
     # Stored rows come first, by age; then the batch in its own order.
     arrival = [F.col(c).alias(f"arrival_{i}") for i, c in enumerate(order_by)]
     no_arrival = [
         F.lit(None).cast(batch.schema[c].dataType).alias(f"arrival_{i}") for i, c in enumerate(order_by)
     ]
+    no_age = F.lit(None).cast("timestamp").alias("created_at")
+    position = F.struct(F.lit(1).alias("source"), no_age, *arrival, "id")
+    # The texts are hashed once; what follows reads narrow columns where it can.
+    checked = durable(checked.withColumn("_order", position))
+    refused = checked.where(F.col("reason").isNotNull())
+    accepted = checked.where(F.col("reason").isNull())
+
     known = (
         store.select("content_hash", *SCOPE, "id", F.col("created_at").cast("timestamp").alias("created_at"))
         # Only stored rows whose text comes in again can decide anything.
-        .join(accepted.select("content_hash").distinct(), "content_hash", "left_semi")
+        .join(grouped(accepted, ["content_hash"]), "content_hash", "left_semi")
         .select(
             "content_hash",
             *SCOPE,
             F.struct(F.lit(0).alias("source"), "created_at", *no_arrival, "id").alias("_order"),
         )
     )
-    arriving = accepted.withColumn(
-        "_order",
-        F.struct(
-            F.lit(1).alias("source"),
-            F.lit(None).cast("timestamp").alias("created_at"),
-            *arrival,
-            "id",
-        ),
-    )
-    earliest = earliest_in_scope(
-        known.unionByName(arriving.select(known.columns)), "_order", own_scopes_only=True
-    )
-    decided = arriving.join(earliest, ["content_hash", *SCOPE])
+    candidates = known.unionByName(accepted.select(known.columns))
+    # The store is scanned once, for all three results.
+    earliest = durable(earliest_in_scope(candidates, "_order", own_scopes_only=True))
+    decided = accepted.join(earliest, ["content_hash", *SCOPE])
     is_new = F.col("first") == F.col("_order")
 
-    embedded = embed_distinct(decided.where(is_new), embedder, key="content_hash")
+    # The model runs once per distinct new text.
+    fresh = decided.where(is_new)
+    vectors = durable(embed_texts(fresh, embedder, key="content_hash"))
+    embedded = fresh.join(vectors, "content_hash", "left")
     problem = embedding_problem(F.col("embedding"), embedder.dimensions)
     new_rows = (
         embedded.where(problem.isNull())

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall.plans.grouping import grouped
 from recall.schema import SCOPE
 
 BITS = {c: 1 << i for i, c in enumerate(SCOPE)}
@@ -35,13 +36,13 @@ def earliest_in_scope(rows: DataFrame, order: str, own_scopes_only: bool = False
     ``content_hash``, the scope columns and ``first`` (the smallest ``order``).
     With ``own_scopes_only`` just the scopes that some row carries itself are kept.
     """
-    keys = ["content_hash", *SCOPE]
     # Collapse repeats before widening: a text repeated by a third of all rows
     # shrinks to its distinct scopes on the map side.
-    groups = rows.groupBy(*keys).agg(F.min(order).alias("first"))
+    keys = ["content_hash", *SCOPE]
+    groups = grouped(rows, keys, F.min(order).alias("first"))
     if own_scopes_only:
         # A text with a single distinct scope can only match itself.
-        spread = groups.groupBy("content_hash").agg(F.count("*").alias("_scopes"))
+        spread = grouped(groups, ["content_hash"], F.count("*").alias("_scopes"))
         groups = groups.join(spread.where("_scopes > 1"), "content_hash", "left")
         only_own = F.col("_scopes").isNull()
     else:
@@ -49,7 +50,7 @@ def earliest_in_scope(rows: DataFrame, order: str, own_scopes_only: bool = False
     everything = F.array(*[F.lit(b) for b in BLANKINGS])
     blanking = F.explode(F.when(only_own, F.array(F.lit(0))).otherwise(everything))
     wide = (
-        groups.select(*keys, "first", blanking.alias("_blank"))
+        groups.select("content_hash", *SCOPE, "first", blanking.alias("_blank"))
         # Blanking an unset dimension changes nothing; leave such repeats out.
         .where(F.col("_blank").bitwiseAND(_unset()) == 0)
         .select(
@@ -62,7 +63,7 @@ def earliest_in_scope(rows: DataFrame, order: str, own_scopes_only: bool = False
             (F.col("_blank") == 0).alias("own"),
         )
     )
-    earliest = wide.groupBy(*keys).agg(F.min("first").alias("first"), F.max("own").alias("own"))
+    earliest = grouped(wide, keys, F.min("first").alias("first"), F.max("own").alias("own"))
     if own_scopes_only:
         earliest = earliest.where("own")
     return earliest.drop("own")

@@ -1,0 +1,92 @@
+"""Hot keys: a third of all rows under one key, with broadcast joins off."""
+
+from contextlib import contextmanager
+
+import pytest
+from pyspark.sql import functions as F
+
+from recall.operators import graph, ingest
+from recall.operators.scope import earliest_in_scope
+from recall.schema import SCOPE
+
+SETTINGS = {
+    "spark.sql.shuffle.partitions": "64",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def hot_rows(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("hot") / "rows")
+    hot = F.col("id") % 3 == 0
+    spark.range(0, 90000, 1, 12).select(
+        F.col("id").alias("n"),
+        F.sha2(F.when(hot, F.lit("hot")).otherwise((F.col("id") / 2).cast("long").cast("string")), 256).alias("content_hash"),
+        F.when(F.col("id") % 6 == 0, F.lit("")).otherwise(F.col("id").cast("string")).alias("user_id"),
+        *[F.lit("").alias(c) for c in SCOPE[1:]],
+    ).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_dedup_of_a_hot_text(spark, hot_rows):
+    with settings(spark, SETTINGS):
+        result = ingest.dedup(hot_rows, "n").select("n", "first")
+        assert "skew=true" in final_plan(result)
+        rows = result.collect()
+    assert len(rows) == 90000
+    # The first hot row has no user. Those after it without a user repeat it;
+    # each user's first hot row is new.
+    hot = {r.n: r.first for r in rows if r.n % 3 == 0}
+    assert all(first == (0 if n % 6 == 0 else n) for n, first in hot.items())
+
+
+def test_scopes_of_a_hot_text_are_spread(spark, hot_rows):
+    with settings(spark, SETTINGS):
+        plan = final_plan(earliest_in_scope(hot_rows, "n", own_scopes_only=True))
+    # The grouping after the join by hash shuffles by the whole key again,
+    # after a partial aggregation.
+    assert plan.count("Exchange hashpartitioning(_groupingexpression") >= 2
+    # The join by hash itself splits the hot text.
+    assert "skew=true" in plan
+
+
+def test_relations_of_a_hub(spark, tmp_path):
+    hub = F.when(F.col("id") % 3 == 0, F.lit("hub")).otherwise(F.concat(F.lit("n"), F.col("id").cast("string")))
+    spark.range(0, 60000, 1, 12).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("id"),
+        hub.alias("from_id"),
+        F.concat(F.lit("t"), (F.col("id") % 1000).cast("string")).alias("to_id"),
+    ).write.parquet(str(tmp_path / "relations"))
+    relations = spark.read.parquet(str(tmp_path / "relations"))
+    ids = spark.createDataFrame([("hub",), ("n1",)], "id string")
+    with settings(spark, SETTINGS):
+        found = graph.relations_of(ids, relations)
+        assert "skew=true" in final_plan(found)
+        assert found.count() == 20001
+        starts = spark.createDataFrame([("hub",)], "id string")
+        reached = graph.reach(starts, relations, 1)
+        assert "skew=true" in final_plan(reached)
+        assert reached.count() == 1001
