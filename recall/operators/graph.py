@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -16,6 +17,9 @@ from recall.plans.grouping import grouped
 from recall.schema import DEFAULT_GRAPH_LIMIT, positive_or
 
 GRAM = 3
+# Queries up to which they are broadcast; with all their runs some 10 MB.
+FEW_QUERIES = 5_000
+FEW_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -202,11 +206,17 @@ def find_entities(entities: DataFrame, query: str, limit: int | None = None) ->
     return hits.orderBy("name", "id").limit(positive_or(limit, DEFAULT_GRAPH_LIMIT))
 
 
-def _grams(c: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters."""
-    last = F.char_length(c) - (size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))
+def _runs(rows: DataFrame, column: str, sizes: Sequence[int], shortest: int = 1) -> DataFrame:
+    """Rows with ``_gram``: each run of ``sizes`` characters in ``column``, at every position."""
+    positions = F.sequence(F.lit(1), F.char_length(column))
+    placed = rows.where(F.char_length(column) >= shortest).withColumn("_at", F.explode(positions))
+    pieces = F.array(*[F.struct(F.lit(n).alias("_size"), F.substring(F.col(column), F.col("_at"), F.lit(n)).alias("_gram")) for n in sizes])
+    # Runs cut short by the end of the text are no runs.
+    return (
+        placed.select(*rows.columns, F.inline(pieces))
+        .where(F.char_length("_gram") == F.col("_size"))
+        .drop("_size")
+    )
 
 
 def find_entities_batch(queries: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
@@ -214,34 +224,42 @@ def find_entities_batch(queries: DataFrame, entities: DataFrame, limit: int | No
 
     Substring tests become an equi-join: a name containing a query contains all of
     its three-character runs, and the rarest of them is the join key. Shorter
-    queries are their own key.
+    queries are their own key. Up to a checked number of queries, they go to the
+    entities, which then stay where they are; more are joined by a shuffle. Left
+    alone, Spark could broadcast the runs, whose number it underestimates.
     """
     limit = positive_or(limit, DEFAULT_GRAPH_LIMIT)
+    measured = queries.limit(FEW_QUERIES + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0)).alias("bytes")
+    )
+    size = measured.first()
+    few = size["n"] <= FEW_QUERIES and size["bytes"] <= FEW_BYTES
     asked = queries.select("query_id", text.lowered(F.col("query")).alias("_query"))
-    keys = F.when(F.char_length("_query") >= GRAM, _grams(F.col("_query"), GRAM)).otherwise(F.array("_query"))
-    asked_keys = asked.select("query_id", "_query", F.explode(keys).alias("_gram"))
-
-    lower_name = text.lowered(F.col("name"))
-    all_runs = F.concat(*[_grams(F.col("_lower"), n) for n in range(1, GRAM + 1)])
-    runs = (
-        entities.select("id", "name", lower_name.alias("_lower"))
-        .select("*", F.explode(all_runs).alias("_gram"))
+    is_short = F.char_length("_query") < GRAM
+    asked_keys = _runs(asked, "_query", [GRAM], GRAM).unionByName(
+        asked.where(is_short).withColumn("_gram", F.col("_query"))
     )
+    names = entities.select("id", "name", text.lowered(F.col("name")).alias("_lower"))
+    runs = _runs(names, "_lower", range(1, GRAM + 1))
     # The empty query finds every name; its page needs only the first ones.
-    first_names = (
-        entities.orderBy("name", "id").limit(limit).select("id", "name", lower_name.alias("_lower"), F.lit("").alias("_gram"))
-    )
-    frequency = runs.groupBy("_gram").agg(F.count("*").alias("_names"))
+    first_names = names.orderBy("name", "id").limit(limit).withColumn("_gram", F.lit(""))
+    counted = runs
+    if few:
+        counted = runs.join(F.broadcast(grouped(asked_keys, ["_gram"])), "_gram", "left_semi")
+    frequency = counted.groupBy("_gram").agg(F.count("*").alias("_names"))
     rarest = (
         asked_keys.join(frequency, "_gram", "left")
         .groupBy("query_id", "_query")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_names", F.lit(0)), "_gram")).alias("_gram"))
     )
-    hits = rarest.join(runs.unionByName(first_names), "_gram").where(F.col("_lower").contains(F.col("_query")))
+    sought = F.broadcast(rarest) if few else rarest.hint("merge")
+    hits = runs.unionByName(first_names).join(sought, "_gram").where(F.col("_lower").contains(F.col("_query")))
     by_name = Window.partitionBy("query_id").orderBy("name", "id")
     return (
-        hits.select("query_id", "id", "name", F.row_number().over(by_name).alias("rank"))
+        # A name holding the key twice is there twice, under one rank.
+        hits.select("query_id", "id", "name", F.dense_rank().over(by_name).alias("rank"))
         .where(F.col("rank") <= limit)
+        .distinct()
     )
 
 

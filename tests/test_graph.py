@@ -119,7 +119,9 @@ def relations(spark, edges):
     return spark.createDataFrame(rows, RELATIONS)
 
 
-def test_find(spark):
+@pytest.mark.parametrize("few", [0, 5000])
+def test_find(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_QUERIES", few)
     e = entities(spark, "PostgreSQL", "pgvector", "Redis", "Ästhetik", "reader")
     assert [r.name for r in graph.find_entities(e, "postg").collect()] == ["PostgreSQL"]
     assert [r.name for r in graph.find_entities(e, "pg").collect()] == ["pgvector"]
