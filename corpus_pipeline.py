@@ -1,23 +1,76 @@
-"""From raw documents to shards: quality, near duplicates, benchmark leaks, mixture, order."""
+"""From raw documents to shards: quality, near duplicates, benchmark leaks, mixture, order.
+
+Each stage takes the table that the one before it wrote and decides on every row of it. All but the last return
+the columns of their input, extra ones too. Null and empty texts are texts without words: the classifier
+judges them by that, the other stages let them pass as such. Empty tables pass all stages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recall.llm import sharding
+from recall.llm import decontaminate, mixing, quality, sharding, simhash_dedup
 from recall.plans.checkpoint import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier accepts; it learns from the labels of the fold that is not held out."""
+    labels = _table(spark, sf_dir, "labels")
+    found = durable(quality.features(docs))
+    model = quality.fit(found, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.kept(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: that with the smallest id.
+
+    Of rows that repeat an id one stays. A null id counts as a number made of the text, below all ids.
+    """
+    made = -F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+    named = docs.withColumn("_name", F.coalesce(F.col("doc_id"), made))
+    groups = simhash_dedup.near_duplicates(named, id_column="_name")
+    stay = groups.select(F.col("component_id").alias("_name")).distinct()
+    return named.dropDuplicates(["_name"]).join(stay, "_name", "left_semi").select(*docs.columns)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows into which no item of the benchmark leaked."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose words have tempered shares by source, language and topic.
+
+    The topic of a document is the label of the vector with its id, where there is one.
+    """
+    weighed = docs.withColumnRenamed("topic", "_own_topic").withColumn("_words", mixing.words(F.col("text")))
+    weighed = mixing.with_topic(weighed, _table(spark, sf_dir, "embeddings"), "doc_id", "vec_id", "label")
+    taken = mixing.mixed(weighed.withColumnsRenamed({"probability": "_own_probability", "taken": "_own_taken"}), F.col("_words"), F.col("doc_id")).where("taken")
+    own = {"topic": "_own_topic", "probability": "_own_probability", "taken": "_own_taken"}
+    return taken.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shuffle what is left and place it: adds ``shard`` and ``slot``."""
     return sharding.sharded(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", no_leaks),
+    ("mixing", mixture),
+    ("sharding", shard),
+]
 
 #: Learned models and sketches have no SQL counterpart; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -25,7 +78,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each to the table that the one before it wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
