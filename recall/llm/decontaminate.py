@@ -238,10 +238,11 @@ def window_vectors(bench: Benchmark, numbers: np.ndarray) -> np.ndarray:
             step = at // STEP
             firsts = np.flatnonzero(np.diff(step, prepend=-1))
             sums[start // STEP + step[firsts]] = np.add.reduceat(bench.directions[part[at]], firsts, axis=0)
-    reach = WINDOW // STEP
-    upto = np.concatenate((np.zeros((1, sums.shape[1]), np.float32), np.cumsum(sums, axis=0, dtype=np.float64).astype(np.float32)))
-    count = max(steps - reach + 1, 1)
-    return _unit(upto[np.minimum(np.arange(count) + reach, steps)] - upto[:count])
+    count = max(steps - WINDOW // STEP + 1, 1)
+    windows = sums[:count].copy()
+    for at in range(1, min(WINDOW // STEP, steps)):
+        windows += sums[at : at + count]
+    return _unit(windows)
 
 
 def candidates(bench: Benchmark, numbers: np.ndarray) -> Iterator[tuple[int, int, float]]:
@@ -258,11 +259,12 @@ def candidates(bench: Benchmark, numbers: np.ndarray) -> Iterator[tuple[int, int
 def leaks(bench: Benchmark, text: str | None) -> dict[int, tuple[int, float, float, float]]:
     """By item id: first word of the best window, cosine, share of the item's words and of its answer's."""
     numbers = bench.numbers(text)
+    listed = numbers.tolist()
     found: dict[int, tuple[int, float, float, float]] = {}
     for window, place, cosine in candidates(bench, numbers):
         item, start = bench.items[place], window * STEP
-        region = numbers[max(0, start - len(item.ids)) : start + WINDOW + len(item.ids)]
-        if (checked := item.check(region.tolist())) and checked > found.get(item.item_id, (0, 0.0, -1.0, -1.0))[2:]:
+        region = listed[max(0, start - len(item.ids)) : start + WINDOW + len(item.ids)]
+        if (checked := item.check(region)) and checked > found.get(item.item_id, (0, 0.0, -1.0, -1.0))[2:]:
             found[item.item_id] = (start, cosine, *checked)
     return found
 
