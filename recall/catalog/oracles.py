@@ -220,7 +220,8 @@ clusters AS (SELECT user_id, seed_id, unnest(members) AS id FROM pass WHERE len(
 """
 
 EXCERPT = f"""CASE WHEN strlen(trim(content, {_WS})) <= 80 THEN trim(content, {_WS})
-  ELSE substring(trim(content, {_WS}), 1, 77) || '...' END"""
+  ELSE list_aggregate(list_transform(range(20, 78), lambda n: CASE WHEN strlen(substring(trim(content, {_WS}), 1, n)) <= 77
+    THEN substring(trim(content, {_WS}), 1, n) ELSE '' END), 'max') || '...' END"""
 
 PAIRS = f"""
 pairs AS (

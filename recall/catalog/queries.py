@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall.functions import metadata, text
+from recall.functions.times import literal
 from recall.operators import consolidate, embed, graph, ingest, listing, maintain, profile, rank, search, stats
 from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids, with_embedding
 from recall.operators.triples import entity_id, entity_type, extract_triples
@@ -352,7 +353,7 @@ def frequency_extract(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def recency_score(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.memories(spark, folder).select(
-        "id", six(rank.recency(F.col("updated_at"), F.lit(NOW))).alias("recency")
+        "id", six(rank.recency(F.col("updated_at"), literal(NOW))).alias("recency")
     )
 
 
@@ -495,8 +496,8 @@ def graph_upsert_entities(spark: SparkSession, folder: str) -> DataFrame:
         "name",
         F.lit("part").alias("type"),
         F.lit(None).cast("string").alias("metadata"),
-        F.lit(UNTIL).alias("created_at"),
-        F.lit(UNTIL).alias("updated_at"),
+        literal(UNTIL).cast("timestamp").alias("created_at"),
+        literal(UNTIL).cast("timestamp").alias("updated_at"),
         "p_partkey",
     )
     stored = _star_graph(spark, folder).entities
@@ -598,7 +599,7 @@ def profile_traits(spark: SparkSession, folder: str) -> DataFrame:
 def profile_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Traits of the first days, then those of the later days merged in."""
     seen = fixtures.observations(spark, folder)
-    split = F.lit(NOW).cast("timestamp_ntz")
+    split = literal(NOW).cast("timestamp_ntz")
     return profile.merge(
         profile.observe(seen.where(F.col("ts") < split)), profile.observe(seen.where(F.col("ts") >= split))
     )

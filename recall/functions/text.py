@@ -42,12 +42,13 @@ def content_hash(c: Column) -> Column:
 def clipped(c: Column, limit: int) -> Column:
     """Trim, then shorten texts of more than ``limit`` bytes, ending in ``...``.
 
-    The cut counts characters, so that it never splits one.
+    Of a longer text the most whole characters that leave room for the dots stay.
     """
     t = trimmed(c)
-    return F.when(F.octet_length(t) <= limit, t).otherwise(
-        F.concat(F.substring(t, 1, limit - 3), F.lit("..."))
-    )
+    room = max(limit - 3, 0)
+    sizes = F.sequence(F.lit(room), F.lit(0), F.lit(-1))
+    fits = F.filter(sizes, lambda n: F.octet_length(F.substr(t, F.lit(1), n)) <= room)
+    return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(F.substr(t, F.lit(1), fits[0]), F.lit("...")))
 
 
 def quoted(c: Column) -> Column:

@@ -17,10 +17,15 @@ def instant(value: datetime | str | Column | None) -> Column:
     if isinstance(value, Column):
         return value
     if isinstance(value, datetime):
-        return F.lit(value)
+        return literal(value).cast("timestamp")
     return F.lit(value).cast("timestamp")
 
 
+def literal(value: datetime) -> Column:
+    """A point in time as a literal: one without zone is a wall-clock time, whatever the machine's zone is."""
+    return F.lit(value) if value.tzinfo else F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(c: Column) -> Column:
     """Microseconds since the epoch."""
     return F.unix_micros(c.cast("timestamp"))

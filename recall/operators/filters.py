@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recall.functions.times import literal
 from recall.operators.scope import earliest_in_scope
 from recall.plans.grouping import grouped
 from recall.schema import MEMORY_TYPES, SCOPE
@@ -40,9 +41,9 @@ class MemoryFilter:
             if f.name not in ("since", "until") and getattr(self, f.name)
         ]
         if self.since is not None:
-            tests.append(F.col("created_at") >= F.lit(self.since).cast(time_type))
+            tests.append(F.col("created_at") >= literal(self.since).cast(time_type))
         if self.until is not None:
-            tests.append(F.col("created_at") <= F.lit(self.until).cast(time_type))
+            tests.append(F.col("created_at") <= literal(self.until).cast(time_type))
         return reduce(and_, tests, F.lit(True))
 
     def apply(self, memories: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-from datetime import datetime
+import os
+import subprocess
+import sys
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +54,18 @@ def test_rerank(spark):
     assert got["new_med_sim"].final_score == pytest.approx(0.819, abs=1e-3)
     assert got["alone"].frequency_score == 1.0
     assert rerank(spark.createDataFrame([], RESULTS), now=NOW).count() == 0
+
+
+def test_naive_times_do_not_follow_the_machines_zone():
+    """Run apart, since a JVM takes its zone at the start."""
+    code = (
+        "from datetime import datetime\n"
+        "from pyspark.sql import functions as F\n"
+        "from recall.functions.times import instant\n"
+        "from recall.session import build_session\n"
+        "spark = build_session('zone', 'local[1]', spark__ui__enabled='false')\n"
+        "print('AT', spark.range(1).select(F.unix_micros(instant(datetime(2024, 1, 8)))).first()[0])\n"
+    )
+    env = os.environ | {"TZ": "America/New_York"}
+    said = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert f"AT {int(datetime(2024, 1, 8, tzinfo=UTC).timestamp()) * 1_000_000}" in said.stdout
