@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from recall.catalog.oracles import ORACLES
+from recall.catalog.queries import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +15,7 @@ def test_entry(spark):
 
 
 def test_only_embeddings_by_text_go_without_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"text_search", "consolidate_texts"}
+    assert set(QUERIES) - set(ORACLES) == {"text_search", "consolidate_texts"}
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
