@@ -268,6 +268,9 @@ ORACLES: dict[str, str] = {
     "mem_scan": f"WITH {MEM} SELECT id, memory_type, user_id, agent_id, app_id, run_id, metadata, content_hash, created_at, updated_at FROM mem",
     "mem_filter_scope_time": f"""WITH {MEM} SELECT id, user_id, agent_id, memory_type, created_at FROM mem
         WHERE agent_id = 'en' AND memory_type = 'fact' AND created_at BETWEEN {SINCE} AND {UNTIL}""",
+    "mem_filter_all": f"""WITH {MEM}, filters(filter, u, a, r) AS (VALUES (0, 'u4', '', 'run2'), (1, '', 'src1', 'run1'), (2, 'u8', 'src2', ''), (3, 'u12', '', ''))
+        SELECT filter, id, user_id, app_id, run_id FROM mem, filters
+        WHERE (u = '' OR user_id = u) AND (a = '' OR app_id = a) AND (r = '' OR run_id = r)""",
     "mem_lookup_ids": f"""WITH {MEM} SELECT CAST(e.event_id AS VARCHAR) AS id, m.id IS NOT NULL AS found, m.memory_type, m.content_hash
         FROM events e LEFT JOIN mem m ON m.id = CAST(e.event_id AS VARCHAR)""",
     "mem_lookup_hash": f"""WITH {MEM}, lookups AS (
@@ -316,6 +319,16 @@ ORACLES: dict[str, str] = {
         FROM mem m LEFT JOIN changes c ON c.id = m.id""",
     "update_rejects": f"""WITH {MEM}, {CHANGES} SELECT id, 'memory not found' AS reason FROM changes
         WHERE id NOT IN (SELECT id FROM mem)""",
+    "update_repeated": f"""WITH {MEM}, turns AS (SELECT CAST(conv_id AS VARCHAR) AS id,
+          arg_max(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS content, max(turn) AS turn,
+          max(turn) FILTER (WHERE turn % 3 = 0) AS k0, max(turn) FILTER (WHERE turn % 3 = 1) AS k1,
+          max(turn) FILTER (WHERE turn % 3 = 2) AS k2
+        FROM conversations GROUP BY 1)
+        SELECT m.id, coalesce(sha256(t.content), m.content_hash) AS content_hash,
+          CASE WHEN t.id IS NULL THEN m.updated_at ELSE {NOW} END AS updated_at,
+          json_extract_string(m.metadata, '$.access_count') AS access_count, CAST(t.turn AS VARCHAR) AS turn,
+          CAST(k0 AS VARCHAR) AS k0, CAST(k1 AS VARCHAR) AS k1, CAST(k2 AS VARCHAR) AS k2
+        FROM mem m LEFT JOIN turns t ON t.id = m.id""",
     "metadata_merge": f"""WITH {MEM} SELECT id,
           CAST(json_merge_patch(CAST(metadata AS JSON), json_object('pinned', true, 'source', user_id)) AS VARCHAR) AS metadata
         FROM mem""",
@@ -349,7 +362,9 @@ ORACLES: dict[str, str] = {
             / greatest(1, max(CASE WHEN uses > 0 THEN uses ELSE 1 END) OVER (PARTITION BY query_id)) AS frequency_score FROM scored)
         SELECT query_id, id, round(similarity_score, 6) AS similarity_score, round(recency_score, 6) AS recency_score,
           round(frequency_score, 6) AS frequency_score,
-          round(0.6 * similarity_score + 0.25 * recency_score + 0.15 * frequency_score, 6) AS final_score FROM shares""",
+          round(0.6 * similarity_score + 0.25 * recency_score + 0.15 * frequency_score, 6) AS final_score,
+          row_number() OVER (PARTITION BY query_id ORDER BY 0.6 * similarity_score + 0.25 * recency_score + 0.15 * frequency_score
+            DESC NULLS LAST, id) AS final_rank FROM shares""",
     "consolidate_clusters": f"WITH RECURSIVE {MEM}, {SEEDS}, {CLUSTERS} SELECT user_id, seed_id, id FROM clusters",
     "consolidate_insights": f"""WITH RECURSIVE {MEM}, {SEEDS}, {CLUSTERS}, {PAIRS}, {INSIGHTS}
         SELECT user_id, sha256(content) AS content_hash, source_ids, insight_type, round(confidence, 6) AS confidence FROM insights""",
@@ -417,6 +432,7 @@ ORACLES: dict[str, str] = {
     "stream_triples": f"WITH {TEXTS}, {_triples('texts')} {_TRIPLE_COLUMNS}",
     "stream_traits": f"WITH {TRAITS} SELECT * FROM traits",
     "stream_type_stats": _TYPE_STATS,
-    "stream_ingest": """SELECT DISTINCT sha256(text) AS content_hash, 'fact' AS memory_type, lang AS agent_id, 64 AS dimensions
-        FROM documents""",
+    "stream_ingest": """WITH first AS (SELECT DISTINCT text, lang FROM documents)
+        SELECT sha256(text) AS content_hash, 'fact' AS memory_type, lang AS agent_id, 64 AS dimensions FROM first
+        UNION ALL SELECT DISTINCT sha256(text), 'fact', '', 64 FROM conversations WHERE text NOT IN (SELECT text FROM first)""",
 }

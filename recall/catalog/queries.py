@@ -61,6 +61,18 @@ def mem_filter_scope_time(spark: SparkSession, folder: str) -> DataFrame:
     return flt.apply(fixtures.memories(spark, folder)).select("id", "user_id", "agent_id", "memory_type", "created_at")
 
 
+@registered
+def mem_filter_all(spark: SparkSession, folder: str) -> DataFrame:
+    """User, application and run, alone and together; the number tells the filter."""
+    rows = fixtures.memories(spark, folder)
+    found = [
+        MemoryFilter(user_id=user, app_id=app, run_id=run).apply(rows)
+        for user, app, run in (("u4", "", "run2"), ("", "src1", "run1"), ("u8", "src2", ""), ("u12", "", ""))
+    ]
+    tagged = [x.select(F.lit(i).alias("filter"), "id", "user_id", "app_id", "run_id") for i, x in enumerate(found)]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
+
+
 @registered
 def mem_lookup_ids(spark: SparkSession, folder: str) -> DataFrame:
     ids = fixtures.table(spark, folder, "events").select(F.col("event_id").cast("string").alias("id"))
@@ -251,6 +263,22 @@ def update_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return _updated(spark, folder).rejects.select("id", "reason")
 
 
+@registered
+def update_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of a conversation changes the memory of its number, in order."""
+    turns = fixtures.table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("id"),
+        F.when(F.col("role") == "user", F.col("text")).alias("content"),
+        F.format_string('{"turn": %d, "k%d": %d}', "turn", F.col("turn") % 3, "turn").alias("metadata"),
+        "turn",
+    )
+    result = maintain.apply_updates(
+        fixtures.memories(spark, folder), turns, embedder=embed.HashingEmbedder(DIMENSIONS), now=NOW, seq="turn"
+    )
+    keys = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("access_count", "turn", "k0", "k1", "k2")]
+    return result.memories.select("id", "content_hash", "updated_at", *keys)
+
+
 @registered
 def metadata_merge(spark: SparkSession, folder: str) -> DataFrame:
     extra = F.concat(F.lit('{"pinned": true, "source": "'), F.col("user_id"), F.lit('"}'))
@@ -373,6 +401,7 @@ def hybrid_rank(spark: SparkSession, folder: str) -> DataFrame:
         six("recency_score").alias("recency_score"),
         six("frequency_score").alias("frequency_score"),
         six("final_score").alias("final_score"),
+        "final_rank",
     )
 
 
@@ -694,9 +723,14 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("content"), F.lit(FACT).alias("memory_type"), F.col("lang").alias("agent_id"), "doc_id"
     )
     target = scratch_folder(spark)
-    writer = jobs.ingest_stream(arriving, f"{target}/memories", embed.HashingEmbedder(DIMENSIONS), order_by=["doc_id"])
-    run = writer.trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint").start()
-    run.awaitTermination()
+    # A second stream on the same table, from a checkpoint of its own, adds the conversations and repeats nothing.
+    talk = _stream(spark, folder, "conversations").select(
+        F.col("text").alias("content"), F.lit(FACT).alias("memory_type"), F.lit("").alias("agent_id"), "conv_id", "turn"
+    )
+    for number, (rows, order) in enumerate(((arriving, ["doc_id"]), (talk, ["conv_id", "turn"]))):
+        writer = jobs.ingest_stream(rows, f"{target}/memories", embed.HashingEmbedder(DIMENSIONS), order_by=order)
+        run = writer.trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint{number}").start()
+        run.awaitTermination()
     return snapshots.read_memories(spark, f"{target}/memories").select(
         "content_hash", "memory_type", "agent_id", F.size("embedding").alias("dimensions")
     )

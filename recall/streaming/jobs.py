@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -15,20 +15,40 @@ from recall.operators.triples import extract_triples
 from recall.sources import snapshots
 
 
+#: Where Spark names the running stream; the name is kept in the checkpoint.
+QUERY_ID = "sql.streaming.queryId"
+
+
+def batch_name(spark: SparkSession, job: str, number: int) -> str:
+    """Name of a micro-batch, for use in ``foreachBatch``.
+
+    It holds the id of the stream's checkpoint. A restart from that checkpoint repeats the name;
+    other streams, and a new checkpoint whose numbers begin at 0 again, have names of their own.
+    """
+    stream = spark.sparkContext.getLocalProperty(QUERY_ID)
+    if not stream:
+        raise ValueError("batches are named inside a running stream")
+    return f"{job}-{stream}-{number}"
+
+
 def ingest_stream(
     arriving: DataFrame, root: str, embedder: Embedder, *, order_by: Sequence[str], job: str = "stream"
 ) -> DataStreamWriter:
     """Writer that adds each micro-batch to the memories table at ``root``.
 
     A micro-batch is deduplicated against the table without itself and written
-    under its own number, so running it a second time gives the same table.
+    under its own name, so running it a second time gives the same table, and no
+    other stream or checkpoint writes over it. Its duplicates and rejects are kept
+    beside the table (:func:`recall.sources.snapshots.read_outcome`).
     The caller sets trigger and checkpoint folder, and starts it.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        name = f"{job}-{number}"
+        name = batch_name(batch.sparkSession, job, number)
         store = snapshots.read_memories_before(batch.sparkSession, root, name)
         result = ingest(batch, store, embedder, order_by=order_by, batch_id=name)
+        snapshots.write_outcome(result.rejects, root, "rejects", name)
+        snapshots.write_outcome(result.duplicates, root, "duplicates", name)
         snapshots.append_batch(result.new_rows, root, name)
 
     return arriving.writeStream.foreachBatch(add)

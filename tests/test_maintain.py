@@ -89,6 +89,19 @@ def test_several_changes_of_one_id(spark):
     assert got["b"].content is None and got["b"].metadata is None
 
 
+def test_updates_with_repeated_ids(spark):
+    stored = memories(spark, [memory("a", "old"), memory("b", "old")])
+    changes = spark.createDataFrame(
+        [("a", "one", None, 1), ("a", "two", '{"x":1}', 2), ("b", "new", None, 1)], CHANGES + ", seq int"
+    )
+    ordered = maintain.apply_updates(stored, changes, seq="seq")
+    assert sorted((r.id, r.content) for r in ordered.memories.collect()) == [("a", "two"), ("b", "new")]
+    assert ordered.rejects.count() == 0
+    unordered = maintain.apply_updates(stored, changes.drop("seq"))
+    assert sorted((r.id, r.content) for r in unordered.memories.collect()) == [("a", "old"), ("b", "new")]
+    assert [(r.id, r.reason) for r in unordered.rejects.collect()] == [("a", maintain.REPEATED)] * 2
+
+
 def test_delete(spark):
     left = maintain.delete(
         memories(spark, [memory("a"), memory("b")]), spark.createDataFrame([("a",), ("x",), ("a",)], "id string")

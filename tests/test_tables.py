@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from recall.operators import graph, ingest, maintain, profile, stats
@@ -79,13 +81,41 @@ def test_ingest_stream_equals_batches(spark, tmp_path):
     got = sorted((r.content, r.user_id) for r in snapshots.read_memories(spark, root).collect())
     assert got == [("a", "u"), ("a", "v"), ("b", ""), ("b", "u")]
 
+    rejects = snapshots.read_outcome(spark, root, "rejects")
+    assert [(r.n, r.reason) for r in rejects.collect()] == [(3, ingest.INVALID_TYPE)]
+    duplicates = snapshots.read_outcome(spark, root, "duplicates").collect()
+    assert {r.n for r in duplicates} == {2}
+
     # The same micro-batch once more leaves the table as it is.
-    store = snapshots.read_memories_before(spark, root, "stream-1")
-    again = ingest.ingest(second, store, model, order_by=["n"], batch_id="stream-1")
-    snapshots.append_batch(again.new_rows, root, "stream-1")
+    name = next(r.batch for r in duplicates).removesuffix("-0") + "-1"
+    store = snapshots.read_memories_before(spark, root, name)
+    assert store.count() < len(got)
+    again = ingest.ingest(second, store, model, order_by=["n"], batch_id=name)
+    snapshots.append_batch(again.new_rows, root, name)
     assert sorted((r.content, r.user_id) for r in snapshots.read_memories(spark, root).collect()) == got
 
 
+def test_streams_of_one_name_keep_each_others_rows(spark, tmp_path):
+    root, schema = str(tmp_path / "memories"), "content string, memory_type string, n long"
+    for i, text in enumerate(("a", "b")):
+        files(spark, str(tmp_path / f"in{i}"), [spark.createDataFrame([(text, "fact", 1)], schema)])
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}"))
+        (tmp_path / f"own{i}").mkdir()
+        finish(jobs.ingest_stream(stream, root, HashingEmbedder(4), order_by=["n"]), tmp_path / f"own{i}")
+    # The first stream again, from a new checkpoint whose numbers begin at 0.
+    (tmp_path / "new").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in0"))
+    finish(jobs.ingest_stream(stream, root, HashingEmbedder(4), order_by=["n"]), tmp_path / "new")
+    assert sorted(r.content for r in snapshots.read_memories(spark, root).collect()) == ["a", "b"]
+
+
+def test_a_begun_version_is_never_written_over(spark, tmp_path):
+    root = str(tmp_path / "memories")
+    memories(spark, [memory("a")]).write.parquet(f"{root}/version=0/batch=base")
+    with pytest.raises(AnalysisException):
+        snapshots.write_version(memories(spark, [memory("b")]), root)
+
+
 def collected(stream, mode, name):
     run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
