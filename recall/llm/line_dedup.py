@@ -42,7 +42,8 @@ def html_lines(html: Column) -> Column:
 def text_lines(text: Column) -> Column:
     """Lines of a plain text, white space collapsed, without empty ones."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\f]+", " "), "\n")
-    return F.filter(F.transform(lines, F.trim), lambda line: line != "")
+    # Not F.trim itself: a function of two arguments would get the line's place as the characters to trim.
+    return F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != "")
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

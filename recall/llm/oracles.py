@@ -1,6 +1,30 @@
 """SQL counterparts of the training-data queries, where SQL can express them on whole tables."""
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH tagless AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(10), 'g'),
+      '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|hr|title|head|body|html|nav|header|footer|article|section|aside|main|table|tr|td|th|blockquote|pre|form)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g') AS t
+  FROM pages),
+plain AS (
+  SELECT page_id, host, replace(replace(replace(replace(replace(replace(replace(replace(t,
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t
+  FROM tagless),
+cut AS (
+  SELECT page_id, host, list_filter(list_transform(string_split(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM plain),
+totals AS (SELECT host, count(*) AS n_pages FROM cut WHERE host <> '' GROUP BY host HAVING count(*) >= 40),
+counts AS (
+  SELECT host, line, count(*) AS n_with
+  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host <> '') GROUP BY host, line),
+dropped AS (
+  SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n_with > 0.05e0 * n_pages GROUP BY host),
+kept AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS rest FROM cut LEFT JOIN dropped USING (host))
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(rest) AS n_dropped, coalesce(array_to_string(rest, chr(10)), '') AS text FROM kept""",
     "op2_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings

@@ -27,6 +27,11 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_lines_lose_spaces_at_their_ends_and_nothing_else(spark):
+    table = spark.createDataFrame([(" 0 first \n1 second\n 2\t \n \n3 ",)], "text string")
+    assert table.select(line_dedup.text_lines(F.col("text"))).first()[0] == ["0 first", "1 second", "2", "3"]
+
+
 def test_line_dedup(spark):
     rows = [(i, "http://Host.example:80/a", f"<p>menu</p><div>own {i} &amp; more</div>") for i in range(50)] + [(50, None, None), (50, "bad", "<p>menu</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
