@@ -16,20 +16,18 @@ def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     Nulls come first. Rows equal in ``order`` follow a hash of all their columns; rows equal in
     everything are interchangeable. One range shuffle sorts the rows; only the sizes of its
     partitions are gathered, so nothing but these counts meets in one task. A last sort key of the
-    rows' places in the input lets any number of equal rows spread over partitions.
+    rows' places in the input lets any number of equal rows spread over partitions. The rows travel as
+    one struct, so their columns may have any names but ``row_number``.
     """
-    plain = rows.withColumns({"_tie": F.xxhash64(*rows.columns), "_place": F.monotonically_increasing_id()})
-    keys = [F.col(c).asc_nulls_first() for c in [*order, "_tie", "_place"]]
-    placed = durable(
-        plain.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .drop("_tie", "_place")
-        .withColumns({"_part": F.spark_partition_id(), "_index": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = durable(sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))))
-    count = offsets.agg(F.sum("_size")).first()[0] or 0
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    plain = rows.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    keys = [F.col("row")[c].asc_nulls_first() for c in order] + [F.col("tie"), F.col("place")]
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = durable(plain.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.spark_partition_id().alias("part"), index.alias("index")))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = durable(sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))))
+    count = offsets.agg(F.sum("size")).first()[0] or 0
     # One row per shuffle partition: small however large the table is.
-    joined = placed.join(F.broadcast(offsets.drop("_size")), "_part")
-    return joined.withColumn(NUMBER, F.col("_before") + F.col("_index")).drop("_part", "_index", "_before"), count
+    joined = placed.join(F.broadcast(offsets.drop("size")), "part")
+    return joined.select("row.*", (F.col("before") + F.col("index")).alias(NUMBER)), count

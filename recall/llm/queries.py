@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recall.llm import decontaminate, line_dedup, mixing, passages, quality, secret_scan, sharding, simhash_dedup, token_counts, topk_search
+from recall.llm import (
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    line_dedup,
+    merkle,
+    mixing,
+    passages,
+    quality,
+    secret_scan,
+    sharding,
+    simhash_dedup,
+    token_counts,
+    topk_search,
+)
 from recall.plans.checkpoint import durable, scratch_folder
 
 
@@ -81,6 +95,41 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(_table(spark, folder, "embeddings"), vec_id % 50 == 0, moved)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    source, lang, n_chars, text, doc_id = (F.col(c) for c in ("source", "lang", "n_chars", "text", "doc_id"))
+    docs = _table(spark, folder, "documents").withColumn("leaf", merkle.leaf(doc_id, source, lang, n_chars, text))
+    tampered = F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(tampered, merkle.leaf(doc_id, source, lang, n_chars + 1, text)).otherwise(F.col("leaf"))
+    return merkle.manifest(docs.withColumn("claimed", claimed), claimed_column="claimed").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_quality, op4_mixing, op5_sharding, op6_simhash_dedup, op7_secret_scan, op8_passages, op9_token_counts, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_topk_search,
+        op3_quality,
+        op4_mixing,
+        op5_sharding,
+        op6_simhash_dedup,
+        op7_secret_scan,
+        op8_passages,
+        op9_token_counts,
+        op10_decontaminate,
+        op11_exact_dedup,
+        op12_hard_negatives,
+        op13_merkle_manifest,
+    )
 }
