@@ -7,8 +7,35 @@ that agreement means something.
 
 from __future__ import annotations
 
-from recall.functions.text import WHITESPACE
-from recall.operators.triples import MARKERS, TECHNOLOGIES
+# Fixed values, written once more so that a mistake in the jobs' lists shows: characters of the Unicode White_Space property by number.
+WHITESPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
+
+# Words between subject and object, with the predicate they stand for, in the order of their tests.
+MARKERS = (
+    (" uses ", "uses"),
+    (" depends on ", "depends_on"),
+    (" is a ", "is_a"),
+    (" is an ", "is_a"),
+    (" created ", "created"),
+    (" built ", "created"),
+    (" works with ", "works_with"),
+    (" replaced ", "supersedes"),
+    (" migrated to ", "supersedes"),
+    (" switched to ", "supersedes"),
+    (" is part of ", "part_of"),
+    (" belongs to ", "part_of"),
+    (" implemented ", "created"),
+    (" added ", "created"),
+    (" configured ", "configured"),
+    (" prefers ", "prefers"),
+    (" chose ", "prefers"),
+)
+
+# Names that make an entity a technology, for a regular expression.
+TECHNOLOGIES = (
+    "react|go|python|rust|docker|kubernetes|postgres|redis|nginx|node|typescript|javascript|vue|angular|django|flask|fastapi|"
+    "grpc|graphql|rest|api|sdk|cli|mcp|openai|gemini|ollama|pgvector|git"
+)
 
 NOW = "TIMESTAMP '2024-01-08 00:00:00'"
 SINCE = "TIMESTAMP '2024-01-02 00:00:00'"
@@ -97,7 +124,7 @@ def _type(name: str) -> str:
     low = f"lower({name})"
     return f"""CASE WHEN contains({low}, '.') AND (contains({low}, '/') OR contains({low}, '\\')) THEN 'file'
       WHEN regexp_matches({low}, '[.](go|ts|py|js)$') THEN 'file'
-      WHEN regexp_matches({low}, '{"|".join(TECHNOLOGIES)}') THEN 'technology' ELSE 'concept' END"""
+      WHEN regexp_matches({low}, '{TECHNOLOGIES}') THEN 'technology' ELSE 'concept' END"""
 
 
 TEXTS = "texts AS (SELECT CAST(doc_id AS VARCHAR) AS memory_id, text AS content FROM documents)"
@@ -188,52 +215,99 @@ changes AS (
   FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id)
 """
 
-SEEDS = f"""
+def _seeds(scope: str, mem: str = "mem", count: int = 200, k: int = 10) -> str:
+    """CTEs of the newest rows of each scope and their nearest memories."""
+    return f"""
 seeds AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position,
-      count(*) OVER (PARTITION BY user_id) AS peers
-    FROM mem WHERE embedding IS NOT NULL)
-  WHERE position <= 200 AND peers > 1),
+    SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY created_at DESC, id) AS position,
+      count(*) OVER (PARTITION BY {scope}) AS peers
+    FROM {mem})
+  WHERE position <= {count} AND peers > 1),
 asked AS (SELECT id AS query_id, embedding AS vector FROM seeds WHERE embedding IS NOT NULL AND content <> ''),
-{_near("asked", "mem", 10)}
+{_near("asked", mem, k)}
 """
 
-# The greedy pass as a walk over the seeds of each scope, one seed per step.
-CLUSTERS = f"""
+
+def _clusters(scope: str, threshold: str) -> str:
+    """The greedy pass as a walk over the seeds of each scope, one seed per step."""
+    return f"""
 lists AS (
-  SELECT s.user_id, s.id, list(n.id ORDER BY n.rank) AS close,
-    row_number() OVER (PARTITION BY s.user_id ORDER BY s.position) AS step
-  FROM seeds s JOIN near n ON n.query_id = s.id AND n.score >= {LOW}
-  GROUP BY s.user_id, s.id, s.position),
-pass(user_id, step, visited, seed_id, members) AS (
-  SELECT DISTINCT user_id, 0::BIGINT, []::VARCHAR[], ''::VARCHAR, []::VARCHAR[] FROM lists
+  SELECT s.{scope}, s.id, list(n.id ORDER BY n.rank) AS close,
+    row_number() OVER (PARTITION BY s.{scope} ORDER BY s.position) AS step
+  FROM seeds s JOIN near n ON n.query_id = s.id AND n.score >= {threshold}
+  GROUP BY s.{scope}, s.id, s.position),
+pass({scope}, step, visited, seed_id, members) AS (
+  SELECT DISTINCT {scope}, 0::BIGINT, []::VARCHAR[], ''::VARCHAR, []::VARCHAR[] FROM lists
   UNION ALL
-  SELECT l.user_id, l.step,
+  SELECT l.{scope}, l.step,
     CASE WHEN list_contains(p.visited, l.id) THEN p.visited
       ELSE list_concat(p.visited, [l.id], list_filter(l.close, lambda x: NOT list_contains(p.visited, x) AND x <> l.id)) END,
     l.id,
     CASE WHEN list_contains(p.visited, l.id) THEN []::VARCHAR[]
       ELSE list_concat([l.id], list_filter(l.close, lambda x: NOT list_contains(p.visited, x) AND x <> l.id)) END
-  FROM pass p JOIN lists l ON l.user_id = p.user_id AND l.step = p.step + 1),
-clusters AS (SELECT user_id, seed_id, unnest(members) AS id FROM pass WHERE len(members) > 1)
+  FROM pass p JOIN lists l ON l.{scope} = p.{scope} AND l.step = p.step + 1),
+clusters AS (SELECT {scope}, seed_id, unnest(members) AS id FROM pass WHERE len(members) > 1)
+"""
+
+
+def _embedded(texts: str) -> str:
+    """CTE ``vectors`` (key, vector) of a relation with key and content: signed word counts by MD5, unit length."""
+    return f"""
+tokens AS (SELECT key, md5(unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) AS digest FROM {texts}),
+sums AS (
+  SELECT key, ('0x' || substring(digest, 1, 15))::BIGINT % 64 AS place,
+    sum(CASE WHEN ('0x' || substring(digest, 16, 1))::INTEGER % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS s
+  FROM tokens GROUP BY ALL),
+norms AS (SELECT key, sqrt(sum(s * s)) AS norm FROM sums GROUP BY key),
+vectors AS (
+  SELECT t.key, list(CASE WHEN norm > 0 THEN CAST(coalesce(s, 0) / norm AS FLOAT) ELSE 0 END ORDER BY r.i) AS vector
+  FROM {texts} t CROSS JOIN range(64) r(i) LEFT JOIN sums u ON u.key = t.key AND u.place = r.i LEFT JOIN norms n ON n.key = t.key
+  GROUP BY t.key)
+"""
+
+
+EVENT_MEM = """
+mem AS (
+  SELECT CAST(e.event_id AS VARCHAR) AS id, d.text AS content,
+    CASE e.event_type WHEN 'view' THEN 'fact' WHEN 'click' THEN 'conversation'
+      WHEN 'purchase' THEN 'decision' WHEN 'signup' THEN 'code_pattern'
+      WHEN 'error' THEN 'correction' END AS memory_type, e.value,
+    'a' || (e.event_id % 2) AS agent_id, v.vec_id, e.ts AS created_at
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+  JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings))
 """
 
+# Texts by hash, their vectors, and the memories with these.
+TEXT_MEM = f"""
+{MEM},
+distinct_texts AS (SELECT DISTINCT content_hash AS key, content FROM mem),
+{_embedded("distinct_texts")},
+embedded AS (SELECT m.* EXCLUDE (embedding), CAST(v.vector AS DOUBLE[]) AS embedding FROM mem m JOIN vectors v ON v.key = m.content_hash)
+"""
+
+SEEDS = _seeds("user_id")
+CLUSTERS = _clusters("user_id", LOW)
+
 EXCERPT = f"""CASE WHEN strlen(trim(content, {_WS})) <= 80 THEN trim(content, {_WS})
-  ELSE list_aggregate(list_transform(range(20, 78), lambda n: CASE WHEN strlen(substring(trim(content, {_WS}), 1, n)) <= 77
+  ELSE list_aggregate(list_transform(range(0, 78), lambda n: CASE WHEN strlen(substring(trim(content, {_WS}), 1, n)) <= 77
     THEN substring(trim(content, {_WS}), 1, n) ELSE '' END), 'max') || '...' END"""
 
-PAIRS = f"""
+def _pairs(scope: str, cutoff: str) -> str:
+    return f"""
 pairs AS (
-  SELECT c.user_id, f.id AS fact_id, c.id AS correction_id,
+  SELECT c.{scope}, f.id AS fact_id, c.id AS correction_id,
     {EXCERPT.replace("content", "f.content")} AS fact_excerpt,
     {EXCERPT.replace("content", "c.content")} AS correction_excerpt, n.score
-  FROM seeds c JOIN near n ON n.query_id = c.id AND n.rank <= 3 AND n.score > {LOW}
-    JOIN seeds f ON f.id = n.id AND f.user_id = c.user_id
+  FROM seeds c JOIN near n ON n.query_id = c.id AND n.rank <= 3 AND n.score > {cutoff}
+    JOIN seeds f ON f.id = n.id AND f.{scope} = c.{scope}
   WHERE c.memory_type = 'correction' AND f.memory_type = 'fact' AND c.created_at >= f.created_at)
 """
 
 
+PAIRS = _pairs("user_id", LOW)
+
+
 def _go_quoted(c: str) -> str:
     out = f"replace({c}, '\\', '\\\\')"
     for raw, escaped in (("'\"'", '\\"'), ("chr(10)", "\\n"), ("chr(9)", "\\t"), ("chr(13)", "\\r"), ("chr(12)", "\\f"), ("chr(11)", "\\v"), ("chr(7)", "\\a"), ("chr(8)", "\\b")):
@@ -371,10 +445,77 @@ ORACLES: dict[str, str] = {
     "consolidate_results": f"""WITH RECURSIVE {MEM}, {SEEDS}, {CLUSTERS}
         SELECT m.user_id, count(*) AS processed_count,
           (SELECT count(*) FROM clusters c WHERE c.user_id = m.user_id) AS merged_count
-        FROM mem m WHERE m.embedding IS NOT NULL GROUP BY m.user_id""",
+        FROM mem m GROUP BY m.user_id""",
     "consolidate_contradictions": f"""WITH {MEM}, {SEEDS}, {PAIRS}
         SELECT user_id, fact_id, correction_id, fact_excerpt, correction_excerpt, round(score, 6) AS score FROM pairs""",
     "text_excerpt": f"SELECT doc_id, {EXCERPT} AS excerpt FROM (SELECT doc_id, text AS content FROM documents)",
+    "store_delete": f"""WITH {EVENT_MEM} SELECT id, sha256(content) AS content_hash, memory_type FROM mem WHERE value >= 10""",
+    "ingest_rejects": """WITH turns AS (
+          SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END AS content, turn % 4 = 3 AS bad, role FROM conversations),
+        usable AS (SELECT * FROM turns WHERE NOT bad AND content <> ''),
+        fresh AS (
+          SELECT u.* FROM usable u
+          WHERE NOT EXISTS (SELECT 1 FROM usable x WHERE x.content = u.content AND x.role = u.role AND x.conv_id = u.conv_id AND x.turn < u.turn)
+            AND sha256(u.content) NOT IN (SELECT sha256(text) FROM documents))
+        SELECT conv_id, turn, CASE WHEN bad THEN 'invalid memory type' ELSE 'content cannot be empty' END AS reason
+        FROM turns WHERE bad OR content = ''
+        UNION ALL
+        SELECT conv_id, turn, CASE WHEN length(content) % 5 = 0 THEN 'no embedding' ELSE 'wrong embedding size' END
+        FROM fresh WHERE length(content) % 5 = 0 OR length(content) % 7 = 0""",
+    "embed_vectors": f"""WITH texts AS (SELECT CAST(doc_id AS VARCHAR) AS key, text AS content FROM documents), {_embedded("texts")}
+        SELECT key AS memory_id, array_to_string(list_transform(vector, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS vector
+        FROM vectors""",
+    "text_search": f"""WITH {TEXT_MEM},
+        turns AS (SELECT conv_id || '-' || turn AS key, text AS content FROM conversations WHERE text <> ''),
+        {_embedded("turns").replace("tokens", "tokens2").replace("sums", "sums2").replace("norms", "norms2").replace("vectors", "vectors2")},
+        asked AS (SELECT key AS query_id, CAST(vector AS DOUBLE[]) AS vector FROM vectors2),
+        {_near("asked", "embedded", 5)}
+        SELECT n.query_id, n.id, n.rank, round(n.score, 6) AS score, m.memory_type FROM near n JOIN mem m ON m.id = n.id""",
+    "hybrid_rank_half_life": f"""WITH {MEM}, {VECTORS}, {_near('vectors', 'mem', 5)}, lives(half_life, hours) AS (VALUES ('day', 24.0), ('default', 168.0)),
+        scored AS (SELECT l.half_life, n.query_id, n.id, n.score,
+            pow(2, -greatest(0, (epoch_us({NOW}) - epoch_us(m.updated_at)) / 3600000000.0) / l.hours) AS recency,
+            greatest(CAST(json_extract_string(m.metadata, '$.access_count') AS DOUBLE), 0) AS given
+          FROM near n JOIN mem m ON m.id = n.id, lives l),
+        used AS (SELECT *, CASE WHEN given > 0 THEN given ELSE 1 END AS uses FROM scored),
+        final AS (SELECT *, 0.6 * score + 0.25 * recency + 0.15 * uses / greatest(1, max(uses) OVER (PARTITION BY half_life, query_id)) AS total FROM used)
+        SELECT half_life, query_id, id, round(recency, 6) AS recency_score,
+          row_number() OVER (PARTITION BY half_life, query_id ORDER BY total DESC NULLS LAST, id) AS final_rank FROM final""",
+    "consolidate_texts": f"""WITH RECURSIVE {TEXT_MEM}, {_seeds("agent_id", "embedded")}, {_clusters("agent_id", "0.85")}, {_pairs("agent_id", "0.7")}
+        SELECT c.agent_id, string_agg(m.id, ',' ORDER BY m.created_at, m.id) AS source_ids, 'summary' AS insight_type, 0.8::DOUBLE AS confidence
+        FROM clusters c JOIN mem m ON m.id = c.id GROUP BY c.agent_id, c.seed_id
+        UNION ALL SELECT agent_id, fact_id || ',' || correction_id, 'contradiction', round(score, 6) FROM pairs""",
+    # Nearest memories by distinct vector; the pass keeps one row for each scope.
+    "consolidate_large": f"""WITH RECURSIVE {EVENT_MEM},
+        seeds AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, id) AS position FROM mem QUALIFY position <= 5000),
+        away AS (SELECT a.vec_id AS q, b.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS d
+          FROM embeddings a, embeddings b),
+        near AS (SELECT q, m.id, d, row_number() OVER (PARTITION BY q ORDER BY d, m.id) AS rank
+          FROM away JOIN mem m USING (vec_id) QUALIFY rank <= 30),
+        lists AS (SELECT q, list(id ORDER BY rank) AS close FROM near WHERE 1 - d >= {LOW} GROUP BY q),
+        steps AS (SELECT agent_id, position, id, close FROM seeds JOIN lists ON q = vec_id WHERE content <> ''),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY position) AS step FROM steps),
+        pass(agent_id, step, visited, found) USING KEY (agent_id) AS (
+          SELECT DISTINCT agent_id, 0::BIGINT, []::VARCHAR[], []::STRUCT(seed_id VARCHAR, id VARCHAR)[] FROM turns
+          UNION ALL
+          SELECT t.agent_id, t.step,
+            CASE WHEN list_contains(p.visited, t.id) THEN p.visited
+              ELSE list_concat(p.visited, [t.id], list_filter(t.close, lambda x: NOT list_contains(p.visited, x) AND x <> t.id)) END,
+            CASE WHEN list_contains(p.visited, t.id) THEN p.found
+              ELSE list_concat(p.found, list_transform(list_filter(t.close, lambda x: NOT list_contains(p.visited, x) AND x <> t.id),
+                lambda x: {{'seed_id': t.id, 'id': x}})) END
+          FROM pass p JOIN turns t ON t.agent_id = p.agent_id AND t.step = p.step + 1),
+        members AS (SELECT agent_id, unnest(found, recursive := true) FROM pass)
+        SELECT agent_id, seed_id, id FROM members UNION SELECT agent_id, seed_id, seed_id FROM members""",
+    "text_excerpt_wide": f"SELECT doc_id, {EXCERPT} AS excerpt FROM (SELECT doc_id, translate(text, 'aeiot', 'äé€𝄞ß') AS content FROM documents)",
+    "graph_walk": f"""WITH {STAR}, {REGIONS}, {_walk('regions', 3)}
+        SELECT a.asked, r.start_id, e.id, r.distance FROM reach r JOIN entities e ON e.id = r.id
+        JOIN (VALUES (0, 1), (9, 3)) a(asked, most) ON r.distance <= a.most WHERE r.distance > 0""",
+    "graph_add_stored": f"""WITH {STAR}, parts AS (
+          SELECT {_entity('name')} AS id, min(memory_id < '8') AS late, max(memory_id < '8') AS early, bool_or(memory_id >= '8') AS again FROM ends GROUP BY 1)
+        SELECT e.id, e.name, e.type, CASE WHEN early THEN {NOW} ELSE {UNTIL} END AS created_at, CASE WHEN again THEN {UNTIL} ELSE {NOW} END AS updated_at
+        FROM entities e JOIN parts p ON p.id = e.id""",
+    "graph_roundtrip": f"""WITH {STAR}, mentions AS (SELECT {_entity('name')} AS entity_id, count(DISTINCT memory_id) AS memories FROM ends GROUP BY 1)
+        SELECT r.id, r.from_id, r.to_id, r.type, r.memory_ids, m.memories FROM relations r JOIN mentions m ON m.entity_id = r.from_id""",
     "graph_triples": f"WITH {TEXTS}, {_triples('texts')} {_TRIPLE_COLUMNS}",
     "graph_triples_star": f"WITH {STAR_LINES}, {_triples('star')} {_TRIPLE_COLUMNS}",
     "graph_entities": f"WITH {STAR} SELECT id, name, type FROM entities",
@@ -436,3 +577,4 @@ ORACLES: dict[str, str] = {
         SELECT sha256(text) AS content_hash, 'fact' AS memory_type, lang AS agent_id, 64 AS dimensions FROM first
         UNION ALL SELECT DISTINCT sha256(text), 'fact', '', 64 FROM conversations WHERE text NOT IN (SELECT text FROM first)""",
 }
+ORACLES["store_update"] = ORACLES["update_apply"]

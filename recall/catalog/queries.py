@@ -6,7 +6,7 @@ Result columns are scalars, so that any engine can be compared with them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from recall.functions import metadata, text
 from recall.functions.times import literal
 from recall.operators import consolidate, embed, graph, ingest, listing, maintain, profile, rank, search, stats
-from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids, with_embedding
+from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids
 from recall.operators.triples import entity_id, entity_type, extract_triples
 from recall.plans.checkpoint import durable, scratch_folder
-from recall.schema import CORRECTION, FACT, SCOPE
-from recall.sources import fixtures
+from recall.schema import CORRECTION, FACT, MEMORIES, SCOPE
+from recall.sources import fixtures, snapshots
 from recall.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,9 +110,8 @@ def mem_list_total(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def mem_recent_per_scope(spark: SparkSession, folder: str) -> DataFrame:
-    return listing.newest_per_scope(fixtures.memories(spark, folder), ["user_id"], 20).select(
-        "user_id", "id", "created_at", "position"
-    )
+    rows = fixtures.memories(spark, folder).select("user_id", "id", "created_at")
+    return listing.newest_per_scope(rows, ["user_id"], 20)
 
 
 # --- statistics ---
@@ -197,7 +196,7 @@ def _ingested(spark: SparkSession, folder: str) -> ingest.IngestResult:
     return ingest.ingest(
         _incoming(spark, folder),
         fixtures.memories(spark, folder),
-        embed.HashingEmbedder(DIMENSIONS),
+        embed.NativeHashingEmbedder(DIMENSIONS),
         order_by=["part", "conv_id", "turn"],
         batch_id="b1",
         now=NOW,
@@ -241,7 +240,7 @@ def _updated(spark: SparkSession, folder: str) -> maintain.UpdateResult:
     return maintain.apply_updates(
         fixtures.memories(spark, folder),
         _changes(spark, folder),
-        embedder=embed.HashingEmbedder(DIMENSIONS),
+        embedder=embed.NativeHashingEmbedder(DIMENSIONS),
         now=NOW,
     )
 
@@ -273,7 +272,7 @@ def update_repeated(spark: SparkSession, folder: str) -> DataFrame:
         "turn",
     )
     result = maintain.apply_updates(
-        fixtures.memories(spark, folder), turns, embedder=embed.HashingEmbedder(DIMENSIONS), now=NOW, seq="turn"
+        fixtures.memories(spark, folder), turns, embedder=embed.NativeHashingEmbedder(DIMENSIONS), now=NOW, seq="turn"
     )
     keys = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("access_count", "turn", "k0", "k1", "k2")]
     return result.memories.select("id", "content_hash", "updated_at", *keys)
@@ -294,18 +293,83 @@ def delete_apply(spark: SparkSession, folder: str) -> DataFrame:
     return maintain.delete(fixtures.memories(spark, folder), ids).select("id", "content_hash")
 
 
+@registered
+def store_update(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of ``update_apply`` in two calls, to a stored table."""
+    root = scratch_folder(spark)
+    snapshots.write_memories(_in_schema(fixtures.memories(spark, folder)), root, 16)
+    changes = _changes(spark, folder).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(2)))
+    for part in (0, 1):
+        maintain.update_stored(
+            spark, root, changes.where(F.col("part") == part).drop("part"), embedder=embed.NativeHashingEmbedder(DIMENSIONS), now=NOW
+        )
+    return snapshots.read_memories(spark, root).select(
+        "id",
+        "content_hash",
+        "metadata",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+        F.coalesce(F.size("embedding"), F.lit(0)).alias("dimensions"),
+    )
+
+
+@registered
+def store_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a stored table after errors were deleted; every event appended in batches by type."""
+    root = scratch_folder(spark)
+    rows = _in_schema(fixtures.event_memories(spark, folder))
+    for kind in sorted(fixtures.TYPE_OF_EVENT.values()):
+        snapshots.append_batch(rows.where(F.col("memory_type") == kind), root, kind, 16)
+    gone = fixtures.table(spark, folder, "events").where(F.col("value") < 10).select(F.col("event_id").cast("string").alias("id"))
+    maintain.delete_stored(spark, root, gone)
+    return snapshots.read_rows(spark, root).select("id", "content_hash", F.col("batch").alias("memory_type"))
+
+
+def _in_schema(memories: DataFrame) -> DataFrame:
+    times = {c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")}
+    return memories.withColumns(times).select(*MEMORIES.names)
+
+
+class PatchyEmbedder(embed.HashingEmbedder):
+    """A model without a vector for some texts, and one of a wrong size for others."""
+
+    def embed_batch(self, texts: Sequence[str]) -> list:
+        vectors = super().embed_batch(texts)
+        return [None if len(t) % 5 == 0 else v[:3] if len(t) % 7 == 0 else v for t, v in zip(texts, vectors, strict=True)]
+
+
+@registered
+def ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns with empty texts and unknown types among them, through a model that fails for some."""
+    turns = fixtures.conversation_batch(spark, folder).withColumn(
+        "memory_type", F.when(F.col("turn") % 4 == 3, F.lit("note")).otherwise(F.col("memory_type"))
+    ).withColumn("content", F.when(F.col("conv_id") % 9 == 0, F.lit("")).otherwise(F.col("content")))
+    store = fixtures.memories(spark, folder)
+    result = ingest.ingest(turns, store, PatchyEmbedder(DIMENSIONS), order_by=["conv_id", "turn"], batch_id="b2", now=NOW)
+    return result.rejects.select("conv_id", "turn", "reason")
+
+
 # --- embedding and search ---
 
 
 @registered
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = fixtures.document_texts(spark, folder).withColumn("content_hash", text.content_hash(F.col("content")))
-    embedded = embed.embed_distinct(rows, embed.HashingEmbedder(DIMENSIONS))
+    embedded = embed.embed_distinct(rows, embed.NativeHashingEmbedder(DIMENSIONS))
     kept, _ = embed.check_dimensions(embedded, DIMENSIONS)
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return kept.select("memory_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(squares), 4).alias("norm"))
 
 
+@registered
+def embed_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of all texts, components in millionths."""
+    rows = fixtures.document_texts(spark, folder)
+    vectors = embed.embed_keyed(rows, embed.NativeHashingEmbedder(DIMENSIONS), "memory_id", "content")
+    millionths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000).cast("string"))
+    return vectors.select("memory_id", F.array_join(millionths, ",").alias("vector"))
+
+
 def _hits(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", "rank", six("score").alias("score"), six("distance").alias("distance"))
 
@@ -358,7 +422,7 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         F.col("text").alias("query"),
     )
-    embedder = embed.HashingEmbedder(DIMENSIONS)
+    embedder = embed.NativeHashingEmbedder(DIMENSIONS)
     m = embed.embed_distinct(fixtures.memories(spark, folder), embedder)
     hits, _ = search.text_search(turns, m, embedder, 5, columns=["memory_type"])
     return hits.select("query_id", "id", "rank", six("score").alias("score"), "memory_type")
@@ -405,18 +469,23 @@ def hybrid_rank(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# --- consolidation ---
+@registered
+def hybrid_rank_half_life(spark: SparkSession, folder: str) -> DataFrame:
+    """Half-lives of a day, and one that is no half-life and leaves the default."""
+    hits = search.search(fixtures.query_vectors(spark, folder), fixtures.memories(spark, folder), 5, columns=["updated_at", "metadata"])
+    hits = durable(hits)
+    day, default = (rank.rerank(hits, now=NOW, half_life=h) for h in (24.0, -1.0))
+    columns = ["query_id", "id", six("recency_score").alias("recency_score"), "final_rank"]
+    return day.select(F.lit("day").alias("half_life"), *columns).unionByName(default.select(F.lit("default").alias("half_life"), *columns))
 
-SCOPE_OF_CYCLE = ("user_id",)
 
+# --- consolidation ---
 
-def _with_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Only memories with a vector can be searched with or found."""
-    return with_embedding(fixtures.memories(spark, folder))
+SCOPE_OF_CYCLE = ("user_id",)
 
 
 def _seeds_and_neighbours(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    m = _with_vectors(spark, folder)
+    m = fixtures.memories(spark, folder)
     seeds = durable(consolidate.find_seeds(m, SCOPE_OF_CYCLE))
     return seeds, consolidate.find_neighbours(seeds, m, LOW_THRESHOLD, SCOPE_OF_CYCLE)
 
@@ -429,7 +498,7 @@ def consolidate_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cycle(spark: SparkSession, folder: str) -> consolidate.Consolidation:
     return consolidate.consolidate(
-        _with_vectors(spark, folder), SCOPE_OF_CYCLE, threshold=LOW_THRESHOLD, cutoff=LOW_THRESHOLD, now=NOW
+        fixtures.memories(spark, folder), SCOPE_OF_CYCLE, threshold=LOW_THRESHOLD, cutoff=LOW_THRESHOLD, now=NOW
     )
 
 
@@ -458,14 +527,30 @@ def consolidate_contradictions(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def consolidate_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Near copies among the documents, by their own vectors and the default thresholds."""
+    """Near copies among the documents, by their own vectors and the default thresholds: 7 is none."""
     m = fixtures.memories(spark, folder).drop("embedding")
-    embedded = durable(embed.embed_distinct(m, embed.HashingEmbedder(DIMENSIONS)))
-    return consolidate.consolidate(embedded, ("agent_id",), now=NOW).insights.select(
+    embedded = durable(embed.embed_distinct(m, embed.NativeHashingEmbedder(DIMENSIONS)))
+    return consolidate.consolidate(embedded, ("agent_id",), threshold=7, now=NOW).insights.select(
         "agent_id", F.array_join("source_ids", ",").alias("source_ids"), "insight_type", six("confidence").alias("confidence")
     )
 
 
+@registered
+def consolidate_large(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of scopes with thousands of seeds, in rounds."""
+    m, scope = durable(fixtures.event_memories(spark, folder)), ("agent_id",)
+    seeds = durable(consolidate.find_seeds(m, scope, 5_000))
+    near = durable(consolidate.find_neighbours(seeds, m, LOW_THRESHOLD, scope, count=30))
+    return consolidate.greedy_clusters(seeds, near, scope, LOW_THRESHOLD, walk_edges=1_000)
+
+
+@registered
+def text_excerpt_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Excerpts of texts with characters of two, three and four bytes."""
+    wide = F.translate("text", "aeiot", "äé€𝄞ß")
+    return fixtures.table(spark, folder, "documents").select("doc_id", text.clipped(wide, 80).alias("excerpt"))
+
+
 @registered
 def text_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.table(spark, folder, "documents").select(
@@ -612,6 +697,44 @@ def graph_stats(spark: SparkSession, folder: str) -> DataFrame:
     return graph.counts(g.entities, g.relations)
 
 
+@registered
+def graph_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks of callers: one without a depth, one that asks for more than there is."""
+    g = _star_graph(spark, folder)
+    g = graph.Graph(g.entities, g.mentions, durable(g.relations))
+    regions = _places(spark, folder, "region", "r_name")
+    found = [graph.walk(regions, g, depth).select(F.lit(depth or 0).alias("asked"), "start_id", "id", "distance") for depth in (None, 9)]
+    return found[0].unionByName(found[1])
+
+
+def _grown_graph(spark: SparkSession, folder: str) -> graph.Graph:
+    """The star sentences in two batches: the second is added to the stored graph of the first."""
+    lines = durable(fixtures.star_sentences(spark, folder))
+    first = F.col("memory_id") < "8"
+    stored = scratch_folder(spark)
+    snapshots.write_graph(graph.build(lines.where(first), now=NOW), stored)
+    grown = scratch_folder(spark)
+    snapshots.write_graph(graph.build(lines.where(~first), snapshots.read_graph(spark, stored), now=UNTIL), grown)
+    return snapshots.read_graph(spark, grown)
+
+
+@registered
+def graph_add_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of a stored graph that was added to: created by the first batch that has them, changed by the last."""
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    return _grown_graph(spark, folder).entities.select("id", "name", "type", *times)
+
+
+@registered
+def graph_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations and mentions of the same graph, as read back from its files."""
+    g = _grown_graph(spark, folder)
+    mentions = g.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("memories"))
+    return g.relations.join(mentions, F.col("from_id") == F.col("entity_id")).select(
+        "id", "from_id", "to_id", "type", F.array_join("memory_ids", ",").alias("memory_ids"), "memories"
+    )
+
+
 # --- profiles ---
 
 
@@ -717,8 +840,6 @@ def stream_type_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    from recall.sources import snapshots
-
     arriving = _stream(spark, folder, "documents").select(
         F.col("text").alias("content"), F.lit(FACT).alias("memory_type"), F.col("lang").alias("agent_id"), "doc_id"
     )
@@ -727,9 +848,9 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     talk = _stream(spark, folder, "conversations").select(
         F.col("text").alias("content"), F.lit(FACT).alias("memory_type"), F.lit("").alias("agent_id"), "conv_id", "turn"
     )
-    for number, (rows, order) in enumerate(((arriving, ["doc_id"]), (talk, ["conv_id", "turn"]))):
-        writer = jobs.ingest_stream(rows, f"{target}/memories", embed.HashingEmbedder(DIMENSIONS), order_by=order)
-        run = writer.trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint{number}").start()
+    for job, rows, order in (("documents", arriving, ["doc_id"]), ("talk", talk, ["conv_id", "turn"])):
+        writer = jobs.ingest_stream(rows, f"{target}/memories", embed.NativeHashingEmbedder(DIMENSIONS), order_by=order, job=job)
+        run = writer.trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint-{job}").start()
         run.awaitTermination()
     return snapshots.read_memories(spark, f"{target}/memories").select(
         "content_hash", "memory_type", "agent_id", F.size("embedding").alias("dimensions")

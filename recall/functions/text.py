@@ -46,9 +46,18 @@ def clipped(c: Column, limit: int) -> Column:
     """
     t = trimmed(c)
     room = max(limit - 3, 0)
-    sizes = F.sequence(F.lit(room), F.lit(0), F.lit(-1))
-    fits = F.filter(sizes, lambda n: F.octet_length(F.substr(t, F.lit(1), n)) <= room)
-    return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(F.substr(t, F.lit(1), fits[0]), F.lit("...")))
+    data = t.cast("binary")
+
+    def whole(size: int) -> Column:
+        """Whether a character ends at ``size``: the next byte does not continue one."""
+        return ~F.hex(F.substring(data, size + 1, 1)).between("80", "BF")
+
+    # A character has at most four bytes.
+    size = F.lit(max(room - 3, 0))
+    for n in range(max(room - 2, 0), room + 1):
+        size = F.when(whole(n), F.lit(n)).otherwise(size)
+    cut = F.substring(data, F.lit(1), size).cast("string")
+    return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(cut, F.lit("...")))
 
 
 def quoted(c: Column) -> Column:

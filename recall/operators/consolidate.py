@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from recall.operators.filters import MemoryFilter, apply_filter
 from recall.operators.listing import newest_per_scope
 from recall.operators.search import knn
 from recall.plans.checkpoint import durable
+from recall.plans.grouping import grouped
 from recall.schema import (
     CLUSTER_THRESHOLD,
     CONTRADICTION_CUTOFF,
@@ -47,7 +48,13 @@ def threshold_or_default(value: float) -> float:
     return value if 0 < value <= 1 else CLUSTER_THRESHOLD
 
 
-def find_seeds(memories: DataFrame, scope: Sequence[str]) -> DataFrame:
+#: Edges between seeds of a scope up to which one task walks through them in order.
+WALK_EDGES = 100_000
+#: Fetched rows up to which their ids are broadcast: some 10 MB.
+FEW_ROWS = 100_000
+
+
+def find_seeds(memories: DataFrame, scope: Sequence[str], count: int = SEEDS_PER_SCOPE) -> DataFrame:
     """The newest rows of every scope that has at least two, newest first.
 
     ``searchable`` is false for empty texts and rows without a vector, which
@@ -62,13 +69,9 @@ def find_seeds(memories: DataFrame, scope: Sequence[str]) -> DataFrame:
         text.clipped(F.col("content"), EXCERPT_LENGTH).alias("excerpt"),
         (F.col("embedding").isNotNull() & (F.col("content") != "")).alias("searchable"),
     )
-    peers = F.count("*").over(Window.partitionBy(*scope))
-    return (
-        newest_per_scope(narrow, scope, SEEDS_PER_SCOPE)
-        .withColumn("_peers", peers)
-        .where("_peers > 1")
-        .drop("_peers")
-    )
+    newest = newest_per_scope(narrow, scope, max(count, 2))
+    peers = grouped(newest, list(scope), F.count(F.lit(1)).alias("_peers")).where("_peers > 1").drop("_peers")
+    return newest.join(peers, list(scope), "left_semi").where(F.col("position") <= count)
 
 
 def find_neighbours(
@@ -77,65 +80,105 @@ def find_neighbours(
     min_score: float,
     scope: Sequence[str],
     neighbour_scope: str = "all",
+    count: int = NEIGHBOURS_PER_SEED,
 ) -> DataFrame:
     """Nearest memories of each seed, from all scopes or from the seed's own."""
     own = list(scope) if neighbour_scope == "same" else []
     queries = seeds.where("searchable").select(F.col("id").alias("query_id"), "embedding", *own)
-    return knn(queries, memories, NEIGHBOURS_PER_SEED, min_score=min_score)
+    return knn(queries, memories, count, min_score=min_score)
 
 
-def greedy_clusters(seeds: DataFrame, neighbours: DataFrame, scope: Sequence[str], threshold: float) -> DataFrame:
-    """Greedy pass per scope: ``scope, seed_id, id`` for each member of a cluster of two or more.
-
-    Newest first, each unvisited seed takes its unvisited near neighbours. The pass
-    is sequential within a scope by definition, and bounded: at most 200
-    seeds with 10 neighbours each.
-    """
-    near = (
-        neighbours.where(F.col("score") >= threshold)
-        .groupBy(F.col("query_id").alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("id")))).alias("near"))
-        .select("id", F.col("near.id").alias("near"))
-    )
-    # A seed is near to itself, so only vectors without a direction have no list,
-    # and nobody is near to those.
-    lists = seeds.where("searchable").select(*scope, "id", "position").join(near, "id")
-    schema = T.StructType(
-        [*[seeds.schema[c] for c in scope], T.StructField("seed_id", T.StringType()), T.StructField("id", T.StringType())]
-    )
+def _walk(edges: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Seeds that an earlier one absorbs, one task walking through the edges of a scope in order."""
+    schema = T.StructType([*[edges.schema[c] for c in scope], T.StructField("id", T.StringType())])
 
     def one_scope(rows: pd.DataFrame) -> pd.DataFrame:
-        visited: set[str] = set()
-        members: list[tuple[str, str]] = []
-        for seed, close in rows.sort_values("position")[["id", "near"]].itertuples(index=False):
-            if seed in visited:
-                continue
-            visited.add(seed)
-            taken = [m for m in close if m not in visited]
-            visited.update(taken)
-            if taken:
-                members.extend((seed, m) for m in (seed, *taken))
-        out = pd.DataFrame(members, columns=["seed_id", "id"], dtype=object)
-        for position, name in enumerate(scope):
-            out.insert(position, name, rows[name].iloc[0])
+        absorbed: dict[str, bool] = {}
+        for seed, later in rows.sort_values("position")[["seed_id", "later_id"]].itertuples(index=False):
+            if seed not in absorbed:
+                absorbed[later] = True
+        out = pd.DataFrame({"id": list(absorbed)}, dtype=object)
+        for place, name in enumerate(scope):
+            out.insert(place, name, rows[name].iloc[0])
         return out
 
-    return lists.groupBy(*scope).applyInPandas(one_scope, schema)
+    return edges.groupBy(*scope).applyInPandas(one_scope, schema)
+
+
+def absorbed_seeds(edges: DataFrame, scope: Sequence[str], walk_edges: int = WALK_EDGES) -> DataFrame:
+    """Seeds that get no turn: ``scope, id``.
+
+    ``edges`` lead from a seed to a later one of its scope that is near to it (``position`` is the earlier one's place). A seed is absorbed if an
+    earlier seed with a turn is near to it. That is settled in rounds: seeds without an open edge to them
+    have their turn, what they reach is absorbed, and both leave with their edges. As soon as the
+    open edges of a scope are few, one task walks through them, so a scope of any size is never in one task.
+    """
+    keys, found, left = list(scope), None, durable(edges)
+    while True:
+        sizes = grouped(left, keys, F.count(F.lit(1)).alias("_n"))
+        large = durable(sizes.where(F.col("_n") > walk_edges).select(keys))
+        small = durable(_walk(left.join(large, keys, "left_anti"), scope))
+        found = small if found is None else found.unionByName(small)
+        if large.isEmpty():
+            return found
+        left = left.join(large, keys, "left_semi")
+        aimed = left.select(*keys, F.col("later_id").alias("seed_id")).distinct()
+        first = left.join(aimed, [*keys, "seed_id"], "left_anti")
+        reached = durable(first.select(*keys, F.col("later_id").alias("id")).distinct())
+        found = found.unionByName(reached)
+        # Seeds with a turn have no say in what is left; absorbed ones neither, nor do they need a verdict.
+        left = left.join(aimed, [*keys, "seed_id"], "left_semi")
+        for end in ("seed_id", "later_id"):
+            left = left.join(reached.withColumnRenamed("id", end), [*keys, end], "left_anti")
+        left = durable(left)
+
+
+def greedy_clusters(
+    seeds: DataFrame, neighbours: DataFrame, scope: Sequence[str], threshold: float, walk_edges: int = WALK_EDGES
+) -> DataFrame:
+    """Greedy pass per scope: ``scope, seed_id, id`` for each member of a cluster of two or more.
+
+    Newest first, each unvisited seed takes its unvisited near neighbours. A seed is
+    unvisited when its turn comes unless an earlier one took it; so first the seeds with a turn are found
+    (:func:`absorbed_seeds`), and then each neighbour goes to the earliest of them.
+    """
+    keys = list(scope)
+    turns = durable(seeds.where("searchable").select(*keys, F.col("id").alias("seed_id"), "position"))
+    near = neighbours.where(F.col("score") >= threshold).select(F.col("query_id").alias("seed_id"), "id")
+    takes = durable(turns.join(near, "seed_id"))
+    later = turns.select(*keys, F.col("seed_id").alias("later_id"), F.col("position").alias("_later"))
+    edges = takes.withColumnRenamed("id", "later_id").join(later, [*keys, "later_id"]).where(F.col("position") < F.col("_later"))
+    absorbed = durable(absorbed_seeds(edges.select(*keys, "seed_id", "position", "later_id"), scope, walk_edges))
+    lost = absorbed.withColumnRenamed("id", "seed_id")
+    has_turn = turns.join(lost, [*keys, "seed_id"], "left_anti").select(*keys, F.col("seed_id").alias("id"))
+    offered = takes.join(lost, [*keys, "seed_id"], "left_anti").join(has_turn, [*keys, "id"], "left_anti")
+    taken = durable(grouped(offered, [*keys, "id"], F.min_by("seed_id", "position").alias("seed_id")))
+    members = taken.select(*keys, "seed_id", "id")
+    own = members.select(*keys, "seed_id").distinct().withColumn("id", F.col("seed_id"))
+    return members.unionByName(own)
 
 
 def summarise(clusters: DataFrame, memories: DataFrame, scope: Sequence[str], now: Column) -> DataFrame:
-    """One insight per cluster: members oldest first, the latest one's text, their number."""
-    members = clusters.join(memories.select("id", "created_at", "content"), "id")
+    """One insight per cluster: members oldest first, the latest one's text, their number.
+
+    Ages are fetched for all members, texts for the latest ones only.
+    """
+    clusters = durable(clusters)
+    few = clusters.count() <= FEW_ROWS
+
+    def fetched(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows with columns of the memories of their ``id``."""
+        return memories.select("id", *columns).join(F.broadcast(rows) if few else rows, "id")
+
     age = F.struct("created_at", "id")
-    grouped = members.groupBy(*scope, "seed_id").agg(
-        # A cluster has a seed and at most 10 neighbours.
-        F.array_sort(F.collect_list(age)).alias("_members"),
-        F.max_by("content", age).alias("_latest"),
+    sets = fetched(clusters, "created_at").groupBy(*scope, "seed_id").agg(
+        # A cluster has a seed and as many members as it has neighbours at most.
+        F.array_sort(F.collect_list(age)).alias("_members")
     )
-    size = F.size("_members")
-    return grouped.select(
+    dated = sets.withColumn("id", F.element_at("_members", -1)["id"])
+    return fetched(durable(dated), "content").select(
         *scope,
-        F.format_string("Consolidated from %d related memories. Latest: %s", size, F.col("_latest")).alias("content"),
+        F.format_string("Consolidated from %d related memories. Latest: %s", F.size("_members"), F.col("content")).alias("content"),
         F.col("_members.id").alias("source_ids"),
         F.lit(SUMMARY).alias("insight_type"),
         F.lit(SUMMARY_CONFIDENCE).alias("confidence"),
@@ -144,13 +187,13 @@ def summarise(clusters: DataFrame, memories: DataFrame, scope: Sequence[str], no
 
 
 def contradictions(
-    seeds: DataFrame, neighbours: DataFrame, scope: Sequence[str], cutoff: float
+    seeds: DataFrame, neighbours: DataFrame, scope: Sequence[str], cutoff: float, count: int = NEIGHBOURS_PER_CORRECTION
 ) -> DataFrame:
     """Pairs of a fact and a later, similar correction of the same scope.
 
-    The fact must be among the correction's three nearest memories overall.
+    The fact must be among the correction's ``count`` nearest memories overall.
     """
-    close = neighbours.where((F.col("rank") <= NEIGHBOURS_PER_CORRECTION) & (F.col("score") > cutoff)).select(
+    close = neighbours.where((F.col("rank") <= count) & (F.col("score") > cutoff)).select(
         F.col("query_id").alias("correction_id"), F.col("id").alias("fact_id"), "score"
     )
 
@@ -198,29 +241,33 @@ def consolidate(
     cutoff: float = CONTRADICTION_CUTOFF,
     neighbour_scope: str = "all",
     now: datetime | str | Column | None = None,
+    seeds: int = SEEDS_PER_SCOPE,
+    neighbours: int = NEIGHBOURS_PER_SEED,
+    correction_neighbours: int = NEIGHBOURS_PER_CORRECTION,
 ) -> Consolidation:
     """Consolidate every scope at once.
 
     ``scope`` is any non-empty subset of the scope dimensions; the others mean
     "any". ``flt`` limits the memories looked at, not the neighbours, which
-    come from the whole table.
+    come from the whole table. ``seeds`` newest memories of a scope ask for ``neighbours`` nearest ones each, of
+    which ``correction_neighbours`` count for contradictions.
     """
     if not scope or not set(scope) <= set(SCOPE):
         raise ValueError(f"scope must be a non-empty subset of {SCOPE}")
     if neighbour_scope not in ("all", "same"):
         raise ValueError("neighbour_scope must be 'all' or 'same'")
     threshold = threshold_or_default(threshold)
-    stamp = instant(now)
     scoped = apply_filter(memories, flt)
+    # The clock is read once, not by each action.
+    stamp = instant(datetime.now(timezone.utc).isoformat() if now is None else now)
 
     # Both are small next to the table and used more than once.
-    seeds = durable(find_seeds(scoped, scope))
-    neighbours = durable(
-        find_neighbours(seeds, memories, min(threshold, cutoff), scope, neighbour_scope)
-    )
+    newest = durable(find_seeds(scoped, scope, seeds))
+    most = max(neighbours, correction_neighbours)
+    close = durable(find_neighbours(newest, memories, min(threshold, cutoff), scope, neighbour_scope, most))
 
-    clusters = greedy_clusters(seeds, neighbours, scope, threshold)
-    pairs = contradictions(seeds, neighbours, scope, cutoff)
+    clusters = durable(greedy_clusters(newest, close.where(F.col("rank") <= neighbours), scope, threshold))
+    pairs = contradictions(newest, close, scope, cutoff, correction_neighbours)
     insights = summarise(clusters, memories, scope, stamp).unionByName(describe(pairs, scope, stamp))
 
     processed = scoped.groupBy(*scope).agg(F.count("*").alias("processed_count"))

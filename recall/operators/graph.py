@@ -14,7 +14,7 @@ from recall.functions.times import instant
 from recall.operators.triples import entity_id, entity_type, extract_triples, relation_id
 from recall.plans.checkpoint import durable
 from recall.plans.grouping import grouped
-from recall.schema import DEFAULT_GRAPH_LIMIT, positive_or
+from recall.schema import DEFAULT_GRAPH_LIMIT, clamp_depth, positive_or
 
 GRAM = 3
 # Queries up to which they are broadcast; with all their runs some 10 MB.
@@ -318,6 +318,11 @@ def neighbours(starts: DataFrame, relations: DataFrame, entities: DataFrame, dep
     return found.join(entities, "id").select("start_id", "distance", *entities.columns)
 
 
+def walk(starts: DataFrame, graph: Graph, depth: int | None = None) -> DataFrame:
+    """:func:`neighbours` for callers: one step unless a depth is given, and never more than the maximum."""
+    return neighbours(starts, graph.relations, graph.entities, clamp_depth(depth))
+
+
 def neighbour_relations(starts: DataFrame, relations: DataFrame, depth: int = 1) -> DataFrame:
     """Relations walked on the way: those with an end fewer than ``depth`` steps away."""
     if depth <= 0:

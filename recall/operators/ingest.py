@@ -72,7 +72,7 @@ def dedup(rows: DataFrame, order: str) -> DataFrame:
     return rows.join(earliest, ["content_hash", *SCOPE])
 
 
-def _memory_id(batch_id: str, scope_row: Sequence[str]) -> Column:
+def memory_id(batch_id: str, scope_row: Sequence[str]) -> Column:
     """Id in UUID layout, derived from content and scope.
 
     Within one batch at most one row per hash and scope is accepted, so the id is
@@ -104,7 +104,7 @@ def ingest(
     stamp = instant(now)
     checked = with_hash(validate(normalised(batch)))
     if "id" not in batch.columns:
-        checked = checked.withColumn("id", _memory_id(batch_id, SCOPE))
+        checked = checked.withColumn("id", memory_id(batch_id, SCOPE))
     # Stored rows come first, by age; then the batch in its own order.
     arrival = [F.col(c).alias(f"arrival_{i}") for i, c in enumerate(order_by)]
     no_arrival = [

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall.operators.filters import MemoryFilter, apply_filter
+from recall.plans.checkpoint import durable
 from recall.schema import DEFAULT_PAGE, SEEDS_PER_SCOPE, positive_or
 
 
@@ -33,13 +34,26 @@ def total(memories: DataFrame, flt: MemoryFilter | None = None) -> DataFrame:
     return apply_filter(memories, flt).agg(F.count("*").alias("total"))
 
 
+#: Parts of a scope that are ranked by themselves first.
+SALTS = 64
+
+
 def newest_per_scope(
     memories: DataFrame, scope: Sequence[str], n: int = SEEDS_PER_SCOPE
 ) -> DataFrame:
     """The ``n`` newest rows of every scope, with ``position`` from 1.
 
-    The rank limit is applied on the map side as well, so a scope that holds much
-    of the table sends at most ``n`` rows per task into its one final sort.
+    Ranks are taken on scope, time and id alone, first within parts of each scope and then among the parts' best, so
+    a scope that holds much of the table is ranked by many tasks, and the last one sees at most
+    ``n`` rows of each part. Wide columns are fetched afterwards.
     """
-    newest = Window.partitionBy(*scope).orderBy(*newest_first())
-    return memories.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= n)
+    names = [*scope, "created_at", "id"]
+    narrow = memories.select(*names, F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_part"))
+    by_part = Window.partitionBy(*scope, "_part").orderBy(*newest_first())
+    parted = narrow.withColumn("_place", F.row_number().over(by_part)).where(F.col("_place") <= n)
+    by_scope = Window.partitionBy(*scope).orderBy(*newest_first())
+    ranked = parted.withColumn("position", F.row_number().over(by_scope)).where(F.col("position") <= n)
+    ranked = ranked.select(*names, "position")
+    if set(memories.columns) <= set(names):
+        return ranked
+    return memories.join(durable(ranked.select("id", "position")), "id").select(*memories.columns, "position")

@@ -30,9 +30,10 @@ MARKERS = (
 
 # Words that make a name a technology.
 TECHNOLOGIES = (
-    "react go python rust docker kubernetes postgres redis nginx node typescript javascript vue "
-    "angular django flask fastapi grpc graphql rest api sdk cli mcp openai gemini ollama pgvector git"
-).split()
+    "react", "go", "python", "rust", "docker", "kubernetes", "postgres", "redis", "nginx", "node",
+    "typescript", "javascript", "vue", "angular", "django", "flask", "fastapi", "grpc", "graphql", "rest",
+    "api", "sdk", "cli", "mcp", "openai", "gemini", "ollama", "pgvector", "git",
+)
 
 # File name endings.
 FILE_ENDINGS = (".go", ".ts", ".py", ".js")

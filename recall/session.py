@@ -14,6 +14,8 @@ SETTINGS = {
     # Vectors are wide: 2,000 rows of 1,536 floats are 12 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keys of a stream's state outgrow the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

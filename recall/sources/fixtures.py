@@ -52,6 +52,36 @@ def memories(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def event_memories(spark: SparkSession, folder: str) -> DataFrame:
+    """One memory per event, all of them with a vector: texts and vectors come round again by the event's number.
+
+    Agents are two, so a scope holds half of all rows.
+    """
+    e = table(spark, folder, "events")
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    vectors = v.agg(F.count(F.lit(1)).alias("n_vectors"))
+    documents = d.agg(F.count(F.lit(1)).alias("n_documents"))
+    # One row each.
+    e = e.join(F.broadcast(vectors)).join(F.broadcast(documents))
+    e = e.withColumns({"vec_id": F.pmod("event_id", "n_vectors"), "doc_id": F.pmod("event_id", "n_documents")})
+    memory_type = F.create_map(*[F.lit(x) for pair in TYPE_OF_EVENT.items() for x in pair])[F.col("event_type")]
+    return e.join(v, "vec_id").join(d, "doc_id").select(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("text").alias("content"),
+        memory_type.alias("memory_type"),
+        F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("user_id"),
+        F.concat(F.lit("a"), (F.col("event_id") % 2).cast("string")).alias("agent_id"),
+        F.lit("").alias("app_id"),
+        F.lit("").alias("run_id"),
+        F.replace("props", F.lit('"k"'), F.lit('"access_count"')).alias("metadata"),
+        text.content_hash(F.col("text")).alias("content_hash"),
+        "embedding",
+        F.col("ts").alias("created_at"),
+        F.col("ts").alias("updated_at"),
+    )
+
+
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector of the embeddings table as a query."""
     return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")

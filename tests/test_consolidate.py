@@ -140,3 +140,54 @@ def test_neighbours_of_the_own_scope_only(spark):
     m = memories(spark, rows)
     assert consolidate.consolidate(m, ("user_id",), now=NOW).insights.count() == 2
     assert consolidate.consolidate(m, ("user_id",), neighbour_scope="same", now=NOW).insights.count() == 0
+
+
+def sequential(turns, takes):
+    """Clusters by walking through the seeds in order."""
+    visited, out = set(), []
+    for seed in turns:
+        if seed in visited:
+            continue
+        visited.add(seed)
+        taken = [x for x in takes.get(seed, []) if x not in visited]
+        visited.update(taken)
+        out += [(seed, x) for x in ([seed, *taken] if taken else [])]
+    return out
+
+
+@pytest.mark.parametrize("walk_edges", [0, 40, 10**6])
+@pytest.mark.parametrize("kind", ["random", "chain", "dense"])
+def test_rounds_equal_the_sequential_pass(spark, walk_edges, kind):
+    rng = np.random.default_rng(7)
+    turns, near, expected = [], [], []
+    for scope, n in (("a", 60), ("b", 9), ("c", 1)):
+        ids = [f"{scope}{i:03}" for i in rng.permutation(n)]
+        others = [f"x{i}" for i in range(n // 2)]
+        takes = {}
+        for place, seed in enumerate(ids):
+            if kind == "chain":
+                close = ids[max(0, place - 1) : place + 2]
+                close = close if n < 20 else close[:10] if place < 16 else [seed]
+            else:
+                pool = [*ids, *others]
+                close = [pool[i] for i in rng.integers(0, len(pool), 2 if kind == "random" else 12)]
+            takes[seed] = list(dict.fromkeys([seed, *close]))
+            near += [(seed, x, 1.0) for x in takes[seed]]
+        turns += [(scope, seed, place + 1, True) for place, seed in enumerate(ids)]
+        expected += [(scope, a, b) for a, b in sequential(ids, takes)]
+    turns.append(("a", "silent", 1000, False))
+    near.append(("silent", turns[0][1], 1.0))
+    seeds = spark.createDataFrame(turns, "user_id string, id string, position int, searchable boolean")
+    neighbours = spark.createDataFrame(near, "query_id string, id string, score double")
+    found = consolidate.greedy_clusters(seeds, neighbours, ("user_id",), 0.5, walk_edges)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+def test_caps_are_parameters(spark):
+    rows = [memory(f"m{i:02}", f"t{i}", embedding=[1.0, 0.0], created_at=START + hours(i)) for i in range(30)]
+    m = memories(spark, rows)
+    # All vectors are equal, so every seed's neighbours are the smallest ids.
+    assert consolidate.consolidate(m, now=NOW).results.first().merged_count == 11
+    assert consolidate.consolidate(m, now=NOW, seeds=2, neighbours=4).results.first().merged_count == 5
+    all_ = consolidate.consolidate(m, now=NOW, neighbours=30).insights.collect()
+    assert [len(r.source_ids) for r in all_] == [30]

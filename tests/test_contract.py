@@ -14,8 +14,8 @@ def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-def test_only_embeddings_by_text_go_without_sql():
-    assert set(QUERIES) - set(ORACLES) == {"text_search", "consolidate_texts"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 

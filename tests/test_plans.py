@@ -19,7 +19,7 @@ def plan_of(df):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("memories"))
-    snapshots.write_version(memories(spark, [memory(f"{i}", embedding=[1.0, float(i)]) for i in range(50)]), root)
+    snapshots.write_memories(memories(spark, [memory(f"{i}", embedding=[1.0, float(i)]) for i in range(50)]), root)
     return snapshots.read_memories(spark, root)
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recall.operators import search
-from recall.operators.embed import HashingEmbedder, embed
+from recall.operators.embed import HashingEmbedder, NativeHashingEmbedder, embed
 from recall.operators.filters import MemoryFilter
 from recall.plans import neighbours
 from tests.data import START, hours, memories, memory
@@ -141,3 +141,12 @@ def test_text_search(spark):
     hits, rejects = search.text_search(q, m, model, 1, columns=["content"])
     assert [(r.query_id, r.content) for r in hits.collect()] == [("1", "Go is great")]
     assert {r.query_id: r.reason for r in rejects.collect()} == {"2": search.EMPTY_QUERY, "3": search.EMPTY_QUERY}
+
+
+def test_native_model_gives_the_same_vectors(spark):
+    texts = ["", "one Two two", "İstanbul ΣΑΣ straße ÉCOLE x_1 ٣", "a-b.c  a\tb", "日本 語", None, "word " * 5000, "!!! ..."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, query string")
+    found = {r.id: r.embedding for r in NativeHashingEmbedder(16).vectors(rows, "id", "query").collect()}
+    model = HashingEmbedder(16)
+    for i, text in enumerate(texts):
+        assert found[i] == (None if text is None else model.embed_batch([text])[0].tolist())

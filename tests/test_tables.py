@@ -1,9 +1,9 @@
 """Stored tables and streams."""
 
+import random
 from datetime import datetime
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from recall.operators import graph, ingest, maintain, profile, stats
@@ -17,29 +17,85 @@ from tests.data import memories, memory
 NOW = datetime(2024, 1, 1)
 
 
-def test_versions(spark, tmp_path):
+def ids(spark, root):
+    return sorted(r.id for r in snapshots.read_memories(spark, root).collect())
+
+
+def test_batches(spark, tmp_path):
     root = str(tmp_path / "memories")
-    assert snapshots.current_version(spark, root) is None
-    assert snapshots.read_memories(spark, root).count() == 0
-    assert snapshots.write_version(memories(spark, [memory("a", embedding=[1.0]), memory("b", memory_type="decision")]), root) == 0
+    assert snapshots.read_memories(spark, root).count() == 0 and snapshots.buckets_of(spark, root) is None
+    snapshots.write_memories(memories(spark, [memory("a", embedding=[1.0]), memory("b", memory_type="decision")]), root, 4)
     snapshots.append_batch(memories(spark, [memory("c")]), root, "b1")
     snapshots.append_batch(memories(spark, [memory("d")]), root, "b1")  # replaces
-    stored = snapshots.read_memories(spark, root)
-    assert {r.id for r in stored.collect()} == {"a", "b", "d"}
+    assert ids(spark, root) == ["a", "b", "d"] and snapshots.buckets_of(spark, root) == 4
     assert {r.id for r in snapshots.read_memories_before(spark, root, "b1").collect()} == {"a", "b"}
-    smaller = maintain.delete(stored, spark.createDataFrame([("a",)], "id string"))
-    assert snapshots.write_version(smaller, root) == 1
-    assert {r.id for r in snapshots.read_memories(spark, root).collect()} == {"b", "d"}
-    assert {r.id for r in snapshots.read_memories(spark, root, 0).collect()} == {"a", "b", "d"}
+    with pytest.raises(ValueError, match="batch names"):
+        snapshots.append_batch(memories(spark, []), root, "a/b")
+    snapshots.append_batch(memories(spark, []), root, "nothing")
+    assert ids(spark, root) == ["a", "b", "d"]
+
+
+def test_a_broken_off_batch_blocks_nobody(spark, tmp_path):
+    root = str(tmp_path / "memories")
+    snapshots.create(spark, root, 4)
+    (tmp_path / "memories/rows/batch=b1/_temporary/0").mkdir(parents=True)
+    assert ids(spark, root) == []
+    snapshots.append_batch(memories(spark, [memory("a")]), root, "b1")
+    assert ids(spark, root) == ["a"]
 
 
-def test_type_filter_skips_folders(spark, tmp_path):
+def test_filters_skip_folders_and_row_groups(spark, tmp_path):
     root = str(tmp_path / "memories")
-    snapshots.write_version(memories(spark, [memory("a"), memory("b", memory_type="decision")]), root)
-    hit = snapshots.read_memories(spark, root).where("memory_type = 'decision' AND user_id = ''").select("id")
+    snapshots.write_memories(memories(spark, [memory("a"), memory("b", memory_type="decision")]), root)
+    hit = snapshots.read_rows(spark, root).where("memory_type = 'decision' AND bucket = 3 AND batch = 'base'").select("id")
     plan = hit._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(memory_type" in plan and "EqualTo(user_id,)" in plan
-    assert [r.id for r in hit.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(" in plan and "EqualTo(memory_type,decision)" in plan
+
+
+def test_changes_rewrite_touched_folders_only(spark, tmp_path):
+    root, table = str(tmp_path / "memories"), tmp_path / "memories/rows"
+    snapshots.write_memories(memories(spark, [memory(f"m{i}", f"old {i}", embedding=[1.0]) for i in range(60)]), root, 8)
+    snapshots.append_batch(memories(spark, [memory("late", "old", user_id="u")]), root, "b1")
+
+    def files_():
+        return {str(p.relative_to(table)): p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+
+    before = files_()
+    changes = spark.createDataFrame([("m7", "new", None), ("late", None, '{"k":1}'), ("none", "x", None)], "id string, content string, metadata string")
+    folders = snapshots.touched_folders(spark, root, changes)
+    assert len(folders) == 2 and {b for b, _ in folders} == {"base", "b1"}
+    read = snapshots.read_folders(spark, root, folders)
+    assert len(read.inputFiles()) >= 2 and "PartitionFilters: [concat_ws" in read._jdf.queryExecution().toString()
+    assert {f"batch={r.batch}/bucket={r.bucket}" for r in read.collect()} == {f"batch={a}/bucket={b}" for a, b in folders}
+    rejects = maintain.update_stored(spark, root, changes, embedder=HashingEmbedder(1), now=NOW)
+    assert [(r.id, r.reason) for r in rejects.collect()] == [("none", maintain.NOT_FOUND)]
+    touched = {f"batch={a}/bucket={b}" for a, b in folders}
+    for path, time in before.items():
+        assert (path.rsplit("/", 1)[0] in touched) != (files_().get(path) == time)
+    now = {r.id: r for r in snapshots.read_memories(spark, root).collect()}
+    assert len(now) == 61 and now["m7"].content == "new" and now["late"].metadata == '{"k":1}' and now["m8"].content == "old 8"
+    removed = snapshots.read_outcome(spark, root, maintain.REMOVED).collect()
+    assert [(r.id, r.content_hash) for r in removed] == [("m7", memory("m7", "old 7")["content_hash"])]
+
+    maintain.delete_stored(spark, root, spark.createDataFrame([("late",), ("m7",), ("none",)], "id string"))
+    assert len(ids(spark, root)) == 59 and not {"late", "m7"} & set(ids(spark, root))
+    maintain.delete_stored(spark, root, snapshots.read_memories(spark, root).select("id"))
+    assert ids(spark, root) == []
+    maintain.delete_stored(spark, str(tmp_path / "none"), spark.createDataFrame([("a",)], "id string"))
+
+
+def test_rows_appended_during_an_update_stay(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "memories")
+    snapshots.write_memories(memories(spark, [memory(f"m{i}") for i in range(20)]), root, 2)
+    real = snapshots.replace_folders
+
+    def meanwhile(rows, at, folders):
+        snapshots.append_batch(memories(spark, [memory(f"n{i}") for i in range(20)]), at, "b1")
+        real(rows, at, folders)
+
+    monkeypatch.setattr(snapshots, "replace_folders", meanwhile)
+    maintain.delete_stored(spark, root, spark.createDataFrame([("m3",)], "id string"))
+    assert ids(spark, root) == sorted([f"m{i}" for i in range(20) if i != 3] + [f"n{i}" for i in range(20)])
 
 
 def test_graph_tables(spark, tmp_path):
@@ -86,34 +142,89 @@ def test_ingest_stream_equals_batches(spark, tmp_path):
     duplicates = snapshots.read_outcome(spark, root, "duplicates").collect()
     assert {r.n for r in duplicates} == {2}
 
-    # The same micro-batch once more leaves the table as it is.
-    name = next(r.batch for r in duplicates).removesuffix("-0") + "-1"
-    store = snapshots.read_memories_before(spark, root, name)
-    assert store.count() < len(got)
-    again = ingest.ingest(second, store, model, order_by=["n"], batch_id=name)
-    snapshots.append_batch(again.new_rows, root, name)
-    assert sorted((r.content, r.user_id) for r in snapshots.read_memories(spark, root).collect()) == got
 
+def stream_of(spark, folder, schema, job, root, tmp_path, model=None):
+    (tmp_path / f"at-{job}").mkdir(exist_ok=True)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    writer = jobs.ingest_stream(rows, root, model or HashingEmbedder(4), order_by=["n"], job=job)
+    run = writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"at-{job}/checkpoint")).start()
+    run.awaitTermination()
+    return [p for p in run.recentProgress if p["numInputRows"]]
 
-def test_streams_of_one_name_keep_each_others_rows(spark, tmp_path):
-    root, schema = str(tmp_path / "memories"), "content string, memory_type string, n long"
-    for i, text in enumerate(("a", "b")):
-        files(spark, str(tmp_path / f"in{i}"), [spark.createDataFrame([(text, "fact", 1)], schema)])
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}"))
-        (tmp_path / f"own{i}").mkdir()
-        finish(jobs.ingest_stream(stream, root, HashingEmbedder(4), order_by=["n"]), tmp_path / f"own{i}")
-    # The first stream again, from a new checkpoint whose numbers begin at 0.
-    (tmp_path / "new").mkdir()
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in0"))
-    finish(jobs.ingest_stream(stream, root, HashingEmbedder(4), order_by=["n"]), tmp_path / "new")
-    assert sorted(r.content for r in snapshots.read_memories(spark, root).collect()) == ["a", "b"]
 
+def test_stream_dedup_equals_one_batch(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "content string, memory_type string, user_id string, agent_id string, run_id string, note string, at timestamp, n long"
+    rows = [
+        (rng.choice("abcde"), rng.choice(["fact", "fact", "bad"]), *(rng.choice(["", "", "x", "y", None]) for _ in range(3)), f"n {i}" if i % 3 else None, NOW.replace(microsecond=i), (1 << 60) + i)
+        for i in range(90)
+    ]
+    source, root = str(tmp_path / "in"), str(tmp_path / "memories")
+    files(spark, source, [spark.createDataFrame(rows[i : i + 30], schema) for i in range(0, 90, 30)])
+    stream_of(spark, source, schema, "j", root, tmp_path)
+    whole = ingest.ingest(spark.createDataFrame(rows, schema), memories(spark, []), HashingEmbedder(4), order_by=["n"], batch_id="j")
+    keys = ["id", "content", "user_id", "agent_id", "run_id"]
+    assert sorted(tuple(r) for r in snapshots.read_memories(spark, root).select(keys).collect()) == sorted(tuple(r) for r in whole.new_rows.select(keys).collect())
+    for kind, column in (("duplicates", "duplicate_of"), ("rejects", "reason")):
+        got, expected = snapshots.read_outcome(spark, root, kind), getattr(whole, kind)
+        shown = ["n", "at", "note", "content", column]
+        assert sorted((tuple(r) for r in got.select(shown).collect()), key=repr) == sorted((tuple(r) for r in expected.select(shown).collect()), key=repr)
 
-def test_a_begun_version_is_never_written_over(spark, tmp_path):
-    root = str(tmp_path / "memories")
-    memories(spark, [memory("a")]).write.parquet(f"{root}/version=0/batch=base")
-    with pytest.raises(AnalysisException):
-        snapshots.write_version(memories(spark, [memory("b")]), root)
+
+def test_micro_batches_do_not_read_the_store_again(spark, tmp_path):
+    schema, root = "content string, memory_type string, n long", str(tmp_path / "memories")
+    snapshots.write_memories(memories(spark, [memory(f"m{i}", f"text {i}") for i in range(40)]), root, 2)
+    source = str(tmp_path / "in")
+    for k in range(4):
+        files(spark, source, [spark.createDataFrame([(f"text {k}", "fact", k), (f"own {k // 2}", "fact", 100 + k)], schema)])
+        progress = stream_of(spark, source, schema, "j", root, tmp_path)
+        # The table's 40 rows come once; what the job itself appended never does.
+        assert sum(p["numInputRows"] for p in progress) == (42 if k == 0 else 2)
+    assert len(ids(spark, root)) == 42
+    assert snapshots.read_outcome(spark, root, "duplicates").count() == 6
+
+
+def test_a_text_that_was_removed_comes_in_again(spark, tmp_path):
+    schema, root, source = "content string, memory_type string, user_id string, n long", str(tmp_path / "memories"), str(tmp_path / "in")
+
+    def arrive(*rows):
+        files(spark, source, [spark.createDataFrame(list(rows), schema)])
+        stream_of(spark, source, schema, "j", root, tmp_path)
+        return sorted((r.content, r.user_id) for r in snapshots.read_memories(spark, root).collect())
+
+    assert arrive(("a", "fact", "u", 1), ("b", "fact", "", 2)) == [("a", "u"), ("b", "")]
+    maintain.delete_stored(spark, root, snapshots.read_memories(spark, root).where("content = 'a'").select("id"))
+    assert arrive(("a", "fact", "", 3), ("a", "fact", "", 4), ("b", "fact", "", 5)) == [("a", ""), ("b", "")]
+    assert arrive(("a", "fact", "", 6), ("a", "fact", "u", 7)) == [("a", ""), ("a", "u"), ("b", "")]
+
+
+class Refusing(HashingEmbedder):
+    def embed_batch(self, texts):
+        return [None for _ in texts]
+
+
+def test_a_text_without_a_vector_is_rejected_and_may_come_again(spark, tmp_path):
+    schema, root, source = "content string, memory_type string, n long", str(tmp_path / "memories"), str(tmp_path / "in")
+    files(spark, source, [spark.createDataFrame([("a", "fact", 1)], schema)])
+    stream_of(spark, source, schema, "j", root, tmp_path, Refusing(4))
+    assert ids(spark, root) == []
+    files(spark, source, [spark.createDataFrame([("a", "fact", 2)], schema)])
+    stream_of(spark, source, schema, "j", root, tmp_path)
+    assert [r.content for r in snapshots.read_memories(spark, root).collect()] == ["a"]
+
+
+def test_streams_of_a_table_know_of_each_other(spark, tmp_path):
+    root, schema = str(tmp_path / "memories"), "content string, memory_type string, n long"
+    for job, texts in (("a", "xy"), ("b", "yz"), ("c", "xz")):
+        source = str(tmp_path / job)
+        files(spark, source, [spark.createDataFrame([(t, "fact", i) for i, t in enumerate(texts)], schema)])
+        stream_of(spark, source, schema, job, root, tmp_path)
+    assert sorted(r.content for r in snapshots.read_memories(spark, root).collect()) == ["x", "y", "z"]
+    # A new checkpoint must not take a used name.
+    (tmp_path / "new").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "a"))
+    with pytest.raises(Exception, match="name of its own"):
+        finish(jobs.ingest_stream(stream, root, HashingEmbedder(4), order_by=["n"], job="a"), tmp_path / "new")
 
 
 def collected(stream, mode, name):
