@@ -273,7 +273,7 @@ mem AS (
     CASE e.event_type WHEN 'view' THEN 'fact' WHEN 'click' THEN 'conversation'
       WHEN 'purchase' THEN 'decision' WHEN 'signup' THEN 'code_pattern'
       WHEN 'error' THEN 'correction' END AS memory_type, e.value,
-    'a' || (e.event_id % 2) AS agent_id, v.vec_id, e.ts AS created_at
+    'u' || (e.user_id % 20) AS user_id, 'a' || (e.event_id % 2) AS agent_id, v.vec_id, e.ts AS created_at
   FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
   JOIN embeddings v ON v.vec_id = e.event_id % (SELECT count(*) FROM embeddings))
 """
@@ -414,6 +414,15 @@ ORACLES: dict[str, str] = {
         SELECT n.query_id, n.id, n.rank, round(n.score, 6) AS score, m.user_id, m.created_at FROM near n JOIN mem m ON m.id = n.id""",
     "knn_query_filters": f"WITH {MEM}, {_SCOPED}, {_near('asked', 'mem', 5, _OWN_EARLIER)} {HITS}",
     "knn_cells": f"WITH {MEM}, {_SCOPED}, {_near('asked', 'mem', 5, _OWN_EARLIER)} {HITS}",
+    # Distances by pair of vectors, ranked among the memories of each scope.
+    "knn_same_scope": f"""WITH {EVENT_MEM},
+        away AS (SELECT a.vec_id AS q, b.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS d
+          FROM embeddings a, embeddings b),
+        asked AS (SELECT DISTINCT user_id, agent_id, vec_id AS q FROM mem),
+        ranked AS (SELECT k.user_id, k.agent_id, k.q, m.id, d, row_number() OVER (PARTITION BY k.user_id, k.agent_id, k.q ORDER BY d, m.id) AS rank
+          FROM asked k JOIN mem m USING (user_id, agent_id) JOIN away a ON a.q = k.q AND a.vec_id = m.vec_id QUALIFY rank <= 3)
+        SELECT m.id AS query_id, r.id, r.rank, round(1 - d, 6) AS score, round(d, 6) AS distance
+        FROM mem m JOIN ranked r ON r.user_id = m.user_id AND r.agent_id = m.agent_id AND r.q = m.vec_id""",
     "knn_min_score": f"WITH {MEM}, {VECTORS}, {_near('vectors', 'mem', 10)} {HITS} WHERE score >= {LOW}",
     "frequency_extract": """WITH given AS (
           SELECT event_id, CASE event_type WHEN 'click' THEN replace(props, '"k"', '"access_count"')

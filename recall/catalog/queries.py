@@ -410,6 +410,14 @@ def knn_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(search.knn(_scoped_queries(m), m, 5, strategy="cells"))
 
 
+@registered
+def knn_same_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event's memory asks for its own user's nearest ones of its own agent."""
+    m = durable(fixtures.event_memories(spark, folder))
+    queries = m.select(F.col("id").alias("query_id"), "embedding", "user_id", "agent_id")
+    return _hits(search.knn(queries, m, 3, strategy="scoped"))
+
+
 @registered
 def knn_min_score(spark: SparkSession, folder: str) -> DataFrame:
     queries, m = fixtures.query_vectors(spark, folder), fixtures.memories(spark, folder)

@@ -122,12 +122,6 @@ def test_default_k_and_pushed_filter(spark):
     assert got == {"q": [f"{i:02}" for i in range(1, 21, 2)]}
 
 
-def test_unequal_sizes_are_an_error(spark):
-    m = memories(spark, [memory("a", embedding=[1.0, 0.0, 0.0])])
-    with pytest.raises(Exception, match="2 dimensions"):
-        search.knn(spark.createDataFrame([("q", [2.0, 0.0])], QUERIES), m).collect()
-
-
 def test_distance_of_two_columns(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([3.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r.d for r in df.select(search.cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()]
@@ -150,3 +144,39 @@ def test_native_model_gives_the_same_vectors(spark):
     model = HashingEmbedder(16)
     for i, text in enumerate(texts):
         assert found[i] == (None if text is None else model.embed_batch([text])[0].tolist())
+
+
+@pytest.mark.parametrize("strategy", ["scan", "cells", "scoped"])
+def test_queries_of_a_scope(spark, small_slices, monkeypatch, strategy):
+    vectors = clustered(5, 150)
+    vectors[20:60] = vectors[19]
+    users = ["hot" if i % 3 == 0 else f"u{i % 11}" for i in range(150)]
+    rows = [memory(f"m{i:03}", embedding=v.tolist(), user_id=u, agent_id="xy"[i % 2]) for i, (v, u) in enumerate(zip(vectors, users, strict=True))]
+    asked = [{"query_id": f"q{i}", "embedding": vectors[i].tolist(), "user_id": users[i], "agent_id": "" if i % 4 else "x"} for i in range(0, 150, 2)]
+    queries = spark.createDataFrame([tuple(q.values()) for q in asked], f"{QUERIES}, user_id string, agent_id string").repartition(3)
+    expected = brute(asked, rows, 4, lambda q, r: q["user_id"] == r["user_id"] and q["agent_id"] in ("", r["agent_id"]))
+    found = search.knn(queries, memories(spark, rows), 4, strategy=strategy)
+    assert ranked(found) == {q: ids for q, ids in expected.items() if ids}
+
+
+def test_scoped_rows_before_the_last_exchange(spark, small_slices):
+    """A query sends at most k rows for each slice of its own group, however many groups there are."""
+    rows = [memory(f"m{i:03}", embedding=v.tolist(), user_id=f"u{i % 30}") for i, v in enumerate(clustered(6, 240))]
+    m = memories(spark, rows)
+    queries = m.select(F.col("id").alias("query_id"), "embedding", "user_id")
+    request = neighbours.Request(2, 6, ("user_id",), float("inf"))
+    partial = neighbours.scoped(queries, m, request, ["user_id"]).collect()
+    slices = {}
+    for r in partial:
+        slices[r.query_id] = slices.get(r.query_id, 0) + 1
+    # 240 memories in slices of 7 rows: some groups have several, none has more than a few.
+    assert set(slices) == {r["id"] for r in rows} and max(slices.values()) <= 2 * 6
+
+
+def test_vectors_of_another_size(spark):
+    rows = [memory("a", embedding=[1.0, 0.0]), memory("b", embedding=[1.0, 0.0, 0.0]), memory("c", embedding=[0.0, 1.0])]
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], QUERIES)
+    for strategy in ("scan", "cells"):
+        assert ranked(search.knn(queries, memories(spark, rows), 5, strategy=strategy)) == {"q": ["a", "c"]}
+    with pytest.raises(ValueError, match="2 to 3 dimensions"):
+        search.knn(queries.union(spark.createDataFrame([("r", [1.0, 0.0, 0.0])], QUERIES)), memories(spark, rows), 5)
