@@ -16,15 +16,17 @@ plain AS (
 cut AS (
   SELECT page_id, host, list_filter(list_transform(string_split(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
   FROM plain),
-totals AS (SELECT host, count(*) AS n_pages FROM cut WHERE host <> '' GROUP BY host HAVING count(*) >= 40),
-counts AS (
-  SELECT host, line, count(*) AS n_with
-  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host <> '') GROUP BY host, line),
-dropped AS (
-  SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n_with > 0.05e0 * n_pages GROUP BY host),
+placed AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM cut),
+-- Every line of a host with its number of pages; a page has a line if the line has a place in it.
+spread AS (SELECT host, line, count(DISTINCT page_id) AS n_with FROM placed WHERE host <> '' GROUP BY ALL),
+gone AS (
+  SELECT s.host, s.line FROM spread s
+  WHERE n_with > 1 AND n_with * 20 > (SELECT count(*) FROM cut c WHERE c.host = s.host)),
 kept AS (
-  SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS rest FROM cut LEFT JOIN dropped USING (host))
-SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(rest) AS n_dropped, coalesce(array_to_string(rest, chr(10)), '') AS text FROM kept""",
+  SELECT p.page_id, count(*) AS n_left, string_agg(p.line, chr(10) ORDER BY place) AS text
+  FROM placed p ANTI JOIN gone g ON g.host = p.host AND g.line = p.line GROUP BY p.page_id)
+SELECT c.page_id, host, len(lines) AS n_lines, len(lines) - coalesce(n_left, 0) AS n_dropped, coalesce(k.text, '') AS text
+FROM cut c LEFT JOIN kept k USING (page_id)""",
     "op2_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
