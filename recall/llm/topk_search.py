@@ -24,17 +24,19 @@ SCALE = 1024
 BINS = 256
 #: Queries that are sent to all tasks at once; more go in further waves over the table.
 WAVE = 2048
+#: Bytes of their vectors.
+WAVE_BYTES = 32 * 1024 * 1024
 #: Refinement of a query ends when so many times k candidates are left.
 SLACK = 4
 #: Scores that a task holds at once.
 CELLS = 1_000_000
-LOWEST, HIGHEST = -(1 << 62), 1 << 62
+LOWEST, HIGHEST = -(1 << 62), (1 << 62) - 1
 
 
 def quantised(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and floor(scale * vector) of the usable rows of (id, vector), one pair per vector length.
 
-    Not usable: a null id, a null vector, one that holds null or non-finite components, or that is beyond whole numbers.
+    Not usable: a null id, a null vector, or one that holds null or non-finite components.
     """
     ids, vectors = batch.column(0), batch.column(1)
     fine = np.asarray(ids.is_valid()) & np.asarray(vectors.is_valid())
@@ -46,16 +48,27 @@ def quantised(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for size in np.unique(lengths):
         rows = np.flatnonzero(lengths == size)
         matrix = values[starts[rows][:, None] + np.arange(size)]
-        good = np.isfinite(matrix).all(axis=1) & (np.abs(matrix) < 2.0**40).all(axis=1)
+        good = np.isfinite(matrix).all(axis=1)
         yield ids[rows[good]], matrix[good]
 
 
-def inner(candidates: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers; in floating point only while that is exact."""
-    size = candidates.shape[1]
-    if not size or np.abs(candidates).max(initial=0) * np.abs(queries).sum(axis=1).max(initial=0) < 2.0**53:
+def inner(ids: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as longs: in floating point, in longs or in numbers of any size, whichever is exact.
+
+    A score beyond 62 bits is an error that names the candidate, unless the query has its id: nobody asks for that one.
+    """
+    reach = np.abs(candidates).max(initial=0) * np.abs(queries).sum(axis=1).max(initial=0)
+    if reach < 2.0**53:
         return (candidates @ queries.T).astype(np.int64)
-    return candidates.astype(np.int64) @ queries.astype(np.int64).T
+    if reach < 2.0**62:
+        return candidates.astype(np.int64) @ queries.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    scores = whole(candidates) @ whole(queries).T
+    scores[ids[:, None] == query_ids] = 0
+    beyond = np.flatnonzero((np.abs(scores) > HIGHEST).any(axis=1))
+    if len(beyond):
+        raise ValueError(f"a score of vector {ids[beyond[0]]} does not fit into 62 bits")
+    return scores.astype(np.int64)
 
 
 @dataclass
@@ -86,7 +99,7 @@ class Wave:
         step = max(1, CELLS // len(at))
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
-            yield ids[part], at, inner(matrix[part], queries)
+            yield ids[part], at, inner(ids[part], matrix[part], self.ids[at], queries)
 
 
 def _histogram(wave: Wave, k: int):
@@ -130,26 +143,27 @@ def _cut(wave: Wave, k: int):
 
 
 def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    most, low, high = 0, None, None
+    most, low, high = 0.0, None, None
     for batch in batches:
         for ids, matrix in quantised(batch):
             if len(ids):
-                most = max(most, int(np.abs(matrix).max(initial=0)))
+                most = max(most, float(np.abs(matrix).max(initial=0)))
                 low = int(ids.min()) if low is None else min(low, int(ids.min()))
                 high = int(ids.max()) if high is None else max(high, int(ids.max()))
-    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (most, low, high)], ["most", "low", "high"])
+    kinds = (pa.float64(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((most, low, high), kinds, strict=True)], ["most", "low", "high"])
 
 
-def _wave(rows: list[tuple[int, list[float]]], most: int) -> Wave:
+def _wave(rows: list[tuple[int, list[float]]], most: float) -> Wave:
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["id", "v"])
     ids, vectors, reach = [], {}, []
     for own, matrix in quantised(batch):
         vectors[matrix.shape[1]] = (np.arange(len(ids), len(ids) + len(own)), matrix)
         ids += own.tolist()
-        reach += [int(most * x) for x in np.abs(matrix).sum(axis=1)]
+        reach += [min(int(most * x), HIGHEST) for x in np.abs(matrix).sum(axis=1)]
     n, reach = len(ids), np.array(reach, np.int64)
     zeros, no = np.zeros(n, np.int64), np.zeros(n, bool)
-    return Wave(np.array(ids, np.int64), vectors, -reach, -(-(2 * reach + 1) // BINS), zeros.copy(), no, zeros.copy(), ~no)
+    return Wave(np.array(ids, np.int64), vectors, -reach, 2 * (reach // BINS) + 2, zeros.copy(), no, zeros.copy(), ~no)
 
 
 def _refine(table: DataFrame, wave: Wave, k: int, low_id: int, high_id: int) -> None:
@@ -185,19 +199,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_column: str
     the query's own id is not one of its hits. Vectors that are null, or hold null or non-finite components,
     take no part, nor do rows without an id; vectors of different lengths do not meet. Repeated candidate
     rows all take part; of query rows with one id, that with the smallest vector does. Other columns are ignored.
-    Queries go in waves of at most ``WAVE``, of which the driver holds one.
+    Queries go in waves of at most ``WAVE`` and ``WAVE_BYTES``, of which the driver holds one. A score beyond 62 bits is an error.
     """
     spark = candidates.sparkSession
     table = candidates.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where("id is not null and v is not null")
     asked, count = numbered(asked.groupBy("id").agg(F.min("v").alias("v")), "id")
-    extent = table.mapInArrow(_extent, "most long, low long, high long")
+    extent = table.mapInArrow(_extent, "most double, low long, high long")
     most, low, high = extent.agg(F.max("most"), F.min("low"), F.max("high")).first()
     folder = scratch_folder(spark)
     schema = "query_id long, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(folder)
-    for start in range(0, count if high is not None else 0, WAVE):
-        rows = asked.where(F.col(NUMBER).between(start, start + WAVE - 1)).select("id", F.col("v").cast("array<double>")).collect()
+    longest = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    size = max(1, min(WAVE, WAVE_BYTES // (8 * longest)))
+    for start in range(0, count if high is not None else 0, size):
+        rows = asked.where(F.col(NUMBER).between(start, start + size - 1)).select("id", F.col("v").cast("array<double>")).collect()
         wave = _wave([tuple(r) for r in rows], most)
         if len(wave.ids):
             _refine(table, wave, k, low, high)
