@@ -3,7 +3,9 @@
 Base patterns report what looks like a secret. Candidates in base64 or hex are also decoded, and
 reported as a key only if the bytes have the structure of one: a DER private key whose nested
 lengths fit exactly, an OpenSSH key whose length-prefixed fields fit, or a signed token whose header
-and claims are JSON objects. No shuffle; each text is read once, whole.
+and claims are JSON objects. A key may begin anywhere in a run of such characters, and its base64 may be wrapped over
+lines: every run is decoded once for each way of grouping its characters, and searched for headers. No shuffle; each
+text is read once, whole.
 """
 
 from __future__ import annotations
@@ -30,13 +32,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "token", "pem", "key64", "keyhex")
 
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+# Runs are taken whole from their first character, so a long one is looked at once.
+DOTTED_RUN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{12,}+")
+TOKEN_HEAD = "eyJ"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+#: Beginnings of DER keys: a sequence of some length that holds a version number or another sequence.
+DER_HEAD = re.compile(rb"\x30(?:[\x20-\x7f]|\x81.|\x82..|\x83...|\x84....)(?:\x02\x01[\x00-\x03]|\x30)", re.DOTALL)
 
 OPENSSH = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
+# Object ids of password-based encryption, PKCS 5 and PKCS 12.
+PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def decode64(text: str) -> bytes | None:
@@ -48,81 +56,180 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+def der_length(data: memoryview, at: int) -> tuple[int, int] | None:
+    """(start of the content, its end) of the DER value at ``at``; None if it does not fit into ``data``."""
+    if at + 2 > len(data):
+        return None
+    length, at = data[at + 1], at + 2
+    if length >= 0x80:
+        width = length & 0x7F
+        if not 1 <= width <= 4 or at + width > len(data):
+            return None
+        length, at = int.from_bytes(data[at : at + width]), at + width
+    return (at, at + length) if at + length <= len(data) else None
+
+
+def der_items(data: memoryview) -> list[tuple[int, memoryview]] | None:
     """Tag and content of the DER values that fill ``data`` exactly; None if they do not."""
     items, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if (found := der_length(data, at)) is None:
             return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length >= 0x80:
-            width = length & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
-                return None
-            length, at = int.from_bytes(data[at : at + width]), at + width
-        if at + length > len(data):
-            return None
-        items.append((tag, data[at : at + length]))
-        at += length
+        items.append((data[at], data[found[0] : found[1]]))
+        at = found[1]
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key in one of the encodings with a version number: RSA or DSA, EC, or wrapped."""
-    outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
-        return False
-    inner = der_items(outer[0][1])
-    if not inner or len(inner) < 2 or inner[0][0] != INTEGER or len(inner[0][1]) != 1:
+def _nested(data: memoryview) -> bool:
+    """Whether ``data`` is one or more DER values."""
+    return bool(der_items(data))
+
+
+def is_der_key(content: memoryview) -> bool:
+    """Whether a DER sequence is a private key: RSA or DSA, EC, wrapped, or wrapped and encrypted."""
+    inner = der_items(content)
+    if not inner or len(inner) < 2:
         return False
     tags = [tag for tag, _ in inner]
+    if tags == [SEQUENCE, OCTETS]:
+        scheme = der_items(inner[0][1])
+        known = bool(scheme) and scheme[0][0] == OBJECT_ID and bytes(scheme[0][1]).startswith(PASSWORD_SCHEMES)
+        return known and len(inner[1][1]) >= 16
+    if tags[0] != INTEGER or len(inner[0][1]) != 1:
+        return False
     if all(tag == INTEGER for tag in tags):
-        return len(inner) in (6, 9) and all(value for _, value in inner)
+        # Version, then a modulus; a few small numbers are no key.
+        return len(inner) in (6, 9) and all(len(value) for _, value in inner) and len(inner[1][1]) >= 32
     if tags[1] == OCTETS:
-        return inner[0][1] == b"\x01" and len(inner[1][1]) >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:])
+        return inner[0][1][0] == 1 and len(inner[1][1]) >= 16 and all(tag in (0xA0, 0xA1) and _nested(value) for tag, value in inner[2:])
     if tags[1] == SEQUENCE and len(tags) > 2 and tags[2] == OCTETS:
         algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT_ID and len(inner[2][1]) >= 16
+        return bool(algorithm) and algorithm[0][0] == OBJECT_ID and len(inner[2][1]) >= 16 and _nested(inner[2][1])
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Magic, then cipher, kdf and options, the number of keys, public keys and the private block."""
-    if not data.startswith(OPENSSH):
-        return False
+def openssh_end(data: memoryview) -> int | None:
+    """End of the OpenSSH key at the start: magic, cipher, kdf and options, number of keys, public keys and the private block."""
     fields, at, left = 0, len(OPENSSH), None
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
+    while at + 4 <= len(data):
         value, at = int.from_bytes(data[at : at + 4]), at + 4
         fields += 1
         if fields == 4:
             if not 1 <= value <= 16:
-                return False
+                return None
             left = value + 1
             continue
         if at + value > len(data):
-            return False
+            return None
         at += value
         if left is not None:
             left -= 1
             if not left:
-                return at == len(data)
-    return False
+                return at
+    return None
+
+
+def keys_in(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the keys in some bytes; none begins within another."""
+    view, starts, found = memoryview(data), [m.start() for m in DER_HEAD.finditer(data)], []
+    at = data.find(OPENSSH)
+    while at >= 0:
+        starts.append(at)
+        at = data.find(OPENSSH, at + 1)
+    end = 0
+    for start in sorted(starts):
+        if start < end:
+            continue
+        if data.startswith(OPENSSH, start):
+            size = openssh_end(view[start:])
+            end = start + size if size else end
+        elif (place := der_length(view, start)) and is_der_key(view[place[0] : place[1]]):
+            end = place[1]
+        if end > start:
+            found.append((start, end))
+    return found
 
 
 def is_key(data: bytes | None) -> bool:
-    return data is not None and (is_der_key(data) or is_openssh_key(data))
+    """Whether some bytes are a key, from the first to the last."""
+    return data is not None and (0, len(data)) in keys_in(data)
 
 
-def is_signed_token(text: str) -> bool:
-    """Three parts, of which the first is a JSON object naming an algorithm and the second one of claims."""
-    header, claims, _ = (decode64(part) for part in text.split("."))
+def keys64(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a run of base64 characters without white space, padding included."""
+    body = run.rstrip("=")
+    found = set()
+    for phase in range(4):
+        part = body[phase:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        for start, end in keys_in(decode64(part) or b""):
+            # Bytes of a group's middle do not begin with a character.
+            if start % 3 == 0:
+                upto = phase + -(-end * 4 // 3)
+                found.add((phase + start // 3 * 4, len(run) if upto >= len(body) else upto))
+    return sorted(found)
+
+
+def keys_hex(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a run of hex digits."""
+    found = set()
+    for phase in range(2):
+        part = run[phase : len(run) - (len(run) - phase) % 2]
+        found |= {(phase + 2 * start, phase + 2 * end) for start, end in keys_in(bytes.fromhex(part))}
+    return sorted(found)
+
+
+_decoder = json.JSONDecoder()
+
+
+def _object(text: str, start: int = 0) -> dict | None:
+    """The JSON object that ``text`` is from ``start`` on, to its end."""
     try:
-        header, claims = json.loads(header or b""), json.loads(claims or b"")
-    except ValueError:
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+        value, end = _decoder.raw_decode(text, start)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) and end == len(text) else None
+
+
+def _json64(text: str) -> str:
+    data = decode64(text)
+    return "" if data is None else data.decode("utf-8", "replace")
+
+
+def header_start(text: str) -> int | None:
+    """Where the header of a signed token begins in a run of characters that ends with it."""
+    for phase in range(4):
+        # A header reaches to the end, so all that begin in one phase are ends of one decoded text.
+        if len(text) - phase < 4 or (len(text) - phase) % 4 == 1:
+            continue
+        # A character a byte, so that places stay; only names in ASCII matter.
+        data = (decode64(text[phase:]) or b"").decode("latin-1")
+        at = text.find(TOKEN_HEAD)
+        while data and at >= 0:
+            if (at - phase) % 4 == 0 and at >= phase:
+                header = _object(data, (at - phase) // 4 * 3)
+                if header is not None and isinstance(header.get("alg"), str):
+                    return at
+            at = text.find(TOKEN_HEAD, at + 1)
+    return None
+
+
+def tokens_in(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens in a run: a header naming an algorithm, claims, a signature."""
+    parts, starts, at = run.split("."), [], 0
+    for part in parts:
+        starts.append(at)
+        at += len(part) + 1
+    found, i = [], 0
+    while i + 2 < len(parts):
+        claims = _object(_json64(parts[i + 1])) if TOKEN_HEAD in parts[i] and parts[i + 1] else None
+        start = header_start(parts[i]) if claims is not None else None
+        if start is None:
+            i += 1
+            continue
+        found.append((starts[i] + start, starts[i + 2] + len(parts[i + 2])))
+        i += 3
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -135,11 +242,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of decoded candidates with the structure of a key or token."""
-    spans = [(m.start(), 3, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    spans += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_key(decode64(m[2]))]
-    spans += [(m.start(), 5, m.end()) for m in BASE64_RUN.finditer(text) if is_key(decode64(m[0]))]
-    spans += [(m.start(), 6, m.end()) for m in HEX_RUN.finditer(text) if is_key(bytes.fromhex(m[0]))]
-    return spans
+    spans = [(m.start() + a, 3, m.start() + b) for m in DOTTED_RUN.finditer(text) if TOKEN_HEAD in m[0] for a, b in tokens_in(m[0])]
+    marked = [(m.start(), 4, m.end()) for m in PEM.finditer(text) if is_key(decode64(m[2]))]
+    for m in BASE64_RUN.finditer(text):
+        # Places of the run's characters in the text, without line ends.
+        places = [m.start() + i for i, c in enumerate(m[0]) if not c.isspace()] if "\n" in m[0] else range(m.start(), m.end())
+        for a, b in keys64("".join(m[0].split())):
+            start, end = places[a], places[b - 1] + 1
+            if not any(first <= start < last for first, _, last in marked):
+                spans.append((start, 5, end))
+    spans += [(m.start() + a, 6, m.start() + b) for m in HEX_RUN.finditer(text) for a, b in keys_hex(m[0])]
+    return spans + marked
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
