@@ -97,11 +97,14 @@ def mixed(docs: DataFrame, tokens: Column, key: Column, targets: Mapping[str, Ma
     rows are taken together. Columns of the input named ``probability`` or ``taken`` are replaced, others kept.
     """
     docs = docs.drop("probability", "taken")
-    chances = probabilities(docs, tokens, targets, dimensions).withColumnsRenamed({name: f"_{i}" for i, name in enumerate(dimensions)})
-    same = [docs[name].eqNullSafe(F.col(f"_{i}")) for i, name in enumerate(dimensions)]
+    chances = probabilities(docs, tokens, targets, dimensions)
+    # The rows travel as one struct, so their columns may have any names.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(whole.alias("row"), draw(key, seed=seed).alias("draw"))
+    same = [F.col("row")[name].eqNullSafe(F.col(f"chance.{name}")) for name in dimensions]
     # At most MAX_CELLS narrow rows, of which far fewer occur.
-    joined = docs.join(F.broadcast(chances), same, "left").drop(*(f"_{i}" for i in range(len(dimensions))))
-    return joined.withColumn("taken", draw(key, seed=seed) < F.col("probability"))
+    joined = rows.join(F.broadcast(chances.alias("chance")), same, "left")
+    return joined.select("row.*", F.col("chance.probability").alias("probability"), (F.col("draw") < F.col("chance.probability")).alias("taken"))
 
 
 def words(text: Column) -> Column:
@@ -111,7 +114,8 @@ def words(text: Column) -> Column:
 
 def with_topic(docs: DataFrame, topics: DataFrame, id_column: str, topic_id: str, label: str) -> DataFrame:
     """``docs`` with ``topic``: the smallest label that ``topics`` has for the id, else null. A column ``topic`` of the input is replaced."""
-    marks = topics.where(F.col(topic_id).isNotNull()).groupBy(F.struct(F.col(topic_id)).alias("_k")).agg(F.min(label).alias("topic"))
-    marks = marks.select(F.col("_k")[topic_id].alias("_topic_id"), "topic")
+    marks = topics.where(F.col(topic_id).isNotNull()).groupBy(F.struct(F.col(topic_id)).alias("key")).agg(F.min(label).alias("topic"))
+    marks = marks.select(F.col("key")[topic_id].alias("mark"), "topic").alias("m")
     docs = docs.drop("topic")
-    return docs.join(marks, docs[id_column] == marks["_topic_id"], "left").drop("_topic_id")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).alias("d")
+    return rows.join(marks, F.col("d.row")[id_column] == F.col("m.mark"), "left").select("d.row.*", "m.topic")
