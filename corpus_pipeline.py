@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall.llm import decontaminate, mixing, quality, sharding, simhash_dedup
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _whole(docs: DataFrame) -> Column:
+    """``row``: all columns of a row as one, so that none clashes with a stage's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier accepts; it learns from the labels of the fold that is not held out."""
     labels = _table(spark, sf_dir, "labels")
@@ -31,15 +36,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id.
+    """One row of each group of near duplicates: that with the smallest id, a null id being the largest.
 
-    Of rows that repeat an id one stays. A null id counts as a number made of the text, below all ids.
+    Rows are known by id and text, so rows of one id with unlike texts are different ones; of rows that agree in both one stays.
     """
-    made = -F.lit(1) - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
-    named = docs.withColumn("_name", F.coalesce(F.col("doc_id"), made))
-    groups = simhash_dedup.near_duplicates(named, id_column="_name")
-    stay = groups.select(F.col("component_id").alias("_name")).distinct()
-    return named.dropDuplicates(["_name"]).join(stay, "_name", "left_semi").select(*docs.columns)
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    named = docs.select(name.alias("name"), F.col("text"), _whole(docs))
+    groups = simhash_dedup.near_duplicates(named.select("name", "text"), id_column="name")
+    stay = groups.select(F.col("component_id").alias("name")).distinct()
+    kept = named.select("name", "row").join(stay, "name", "left_semi").groupBy("name").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +58,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The topic of a document is the label of the vector with its id, where there is one.
     """
-    weighed = docs.withColumnRenamed("topic", "_own_topic").withColumn("_words", mixing.words(F.col("text")))
+    weighed = docs.select(_whole(docs), "doc_id", "source", "lang", mixing.words(F.col("text")).alias("words"))
     weighed = mixing.with_topic(weighed, _table(spark, sf_dir, "embeddings"), "doc_id", "vec_id", "label")
-    taken = mixing.mixed(weighed.withColumnsRenamed({"probability": "_own_probability", "taken": "_own_taken"}), F.col("_words"), F.col("doc_id")).where("taken")
-    own = {"topic": "_own_topic", "probability": "_own_probability", "taken": "_own_taken"}
-    return taken.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    return mixing.mixed(weighed, F.col("words"), F.col("doc_id")).where("taken").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
