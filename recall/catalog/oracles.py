@@ -355,6 +355,8 @@ ORACLES: dict[str, str] = {
         GROUP BY ALL""",
     "mem_list_page": f"""WITH {MEM} SELECT id, memory_type, created_at FROM mem WHERE memory_type = 'fact'
         ORDER BY created_at DESC, id LIMIT 50 OFFSET 20""",
+    "mem_list_deep": f"""WITH {EVENT_MEM} SELECT id, sha256(content) AS content_hash, created_at FROM mem
+        ORDER BY created_at DESC, id LIMIT 700 OFFSET 4000""",
     "mem_list_total": f"WITH {MEM} SELECT count(*) AS total FROM mem WHERE memory_type = 'fact'",
     "mem_recent_per_scope": f"""WITH {MEM} SELECT user_id, id, created_at,
           row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS position
@@ -523,6 +525,10 @@ ORACLES: dict[str, str] = {
           SELECT {_entity('name')} AS id, min(memory_id < '8') AS late, max(memory_id < '8') AS early, bool_or(memory_id >= '8') AS again FROM ends GROUP BY 1)
         SELECT e.id, e.name, e.type, CASE WHEN early THEN {NOW} ELSE {UNTIL} END AS created_at, CASE WHEN again THEN {UNTIL} ELSE {NOW} END AS updated_at
         FROM entities e JOIN parts p ON p.id = e.id""",
+    "graph_add_stream": f"""WITH {STAR}, mentions AS (SELECT {_entity('name')} AS entity_id, count(DISTINCT memory_id) AS memories FROM ends GROUP BY 1),
+        started AS (SELECT from_id, count(*) AS started, max(memory_ids) AS last_memory FROM relations GROUP BY 1)
+        SELECT e.id, e.name, e.type, m.memories, coalesce(s.started, 0) AS started, s.last_memory
+        FROM entities e JOIN mentions m ON m.entity_id = e.id LEFT JOIN started s ON s.from_id = e.id""",
     "graph_roundtrip": f"""WITH {STAR}, mentions AS (SELECT {_entity('name')} AS entity_id, count(DISTINCT memory_id) AS memories FROM ends GROUP BY 1)
         SELECT r.id, r.from_id, r.to_id, r.type, r.memory_ids, m.memories FROM relations r JOIN mentions m ON m.entity_id = r.from_id""",
     "graph_triples": f"WITH {TEXTS}, {_triples('texts')} {_TRIPLE_COLUMNS}",

@@ -103,6 +103,13 @@ def mem_list_page(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def mem_list_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """A page from the middle of the list of all events, ranked in the partitions it lies in."""
+    m = durable(fixtures.event_memories(spark, folder))
+    return listing.page(m, None, 700, 4_000, shallow=0).select("id", "content_hash", "created_at")
+
+
 @registered
 def mem_list_total(spark: SparkSession, folder: str) -> DataFrame:
     return listing.total(fixtures.memories(spark, folder), MemoryFilter(memory_type=FACT))
@@ -826,6 +833,22 @@ def stream_triples(spark: SparkSession, folder: str) -> DataFrame:
     return _finished(jobs.triple_stream(texts), "append").select("memory_id", "subject", "predicate", "object")
 
 
+@registered
+def graph_add_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph of the star sentences, which come in several micro-batches, not in their order."""
+    target = scratch_folder(spark)
+    lines = fixtures.star_sentences(spark, folder)
+    lines.repartition(3, "content").write.parquet(f"{target}/in")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
+    writer = jobs.graph_stream(arriving, f"{target}/graph")
+    writer.trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint").start().awaitTermination()
+    g = graph.settled(snapshots.read_writes(spark, f"{target}/graph"))
+    started = g.relations.groupBy("from_id").agg(F.count(F.lit(1)).alias("started"), F.max(F.element_at("memory_ids", 1)).alias("last_memory"))
+    mentions = g.mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("memories"))
+    joined = g.entities.join(mentions, F.col("id") == F.col("entity_id")).join(started, F.col("id") == F.col("from_id"), "left")
+    return joined.select("id", "name", "type", "memories", F.coalesce("started", F.lit(0)).alias("started"), "last_memory")
+
+
 @registered
 def stream_traits(spark: SparkSession, folder: str) -> DataFrame:
     seen = _stream(spark, folder, "events").select(

@@ -170,6 +170,37 @@ def from_triples(
     )
 
 
+@dataclass(frozen=True)
+class Writes:
+    """What batches of texts write into a graph, each row with its place in the order of all texts.
+
+    A later batch does not need the graph, nor need batches come in the order of their texts: which write is the
+    last is settled when the graph is read.
+    """
+
+    entities: DataFrame
+    mentions: DataFrame
+    relations: DataFrame
+
+
+def writes_of(texts: DataFrame, order: str = "memory_id", now: datetime | str | Column | None = None) -> Writes:
+    """Writes of a batch of texts, at most one per entity, mention and relation; its size is that of the batch."""
+    triples, stamp = durable(extract_triples(texts)), instant(now)
+    deciding = F.struct(F.col(order).alias("text_order"), *(-F.col(c) for c in ("sentence_pos", "pattern_pos", "side")))
+    named = _mentions(triples).groupBy(F.col("entity_id").alias("id")).agg(F.max_by("name", deciding).alias("name"), F.max(deciding).alias("written"))
+    found = relations_of_triples(triples, order, now)
+    last = found.groupBy("id").agg(F.max_by(F.struct(*RELATION_COLUMNS[1:]), "found_at").alias("relation"), F.max("found_at").alias("written"))
+    return Writes(named.withColumn("at", stamp), mentions_of(triples, order, now), last)
+
+
+def settled(writes: Writes) -> Graph:
+    """The graph that all writes together make, as one batch of all their texts would."""
+    entities = writes.entities.groupBy("id").agg(F.max_by("name", "written").alias("name"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    entities = entities.withColumns({"type": entity_type(F.col("name")), "metadata": F.lit(None).cast("string")}).select(*ENTITY_COLUMNS)
+    relations = writes.relations.groupBy("id").agg(F.max_by("relation", "written").alias("relation")).select("id", "relation.*")
+    return Graph(entities, merge_mentions(None, writes.mentions), relations)
+
+
 def add_counts(texts: DataFrame) -> DataFrame:
     """Per text: triples found, distinct entities and relations written (one per triple)."""
     ends = _mentions(extract_triples(texts))

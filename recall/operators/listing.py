@@ -22,11 +22,43 @@ def without_embedding(memories: DataFrame) -> DataFrame:
     return memories.drop("embedding")
 
 
+#: Rows up to the end of a page that one task may sort out.
+SHALLOW = 100_000
+
+
 def page(
-    memories: DataFrame, flt: MemoryFilter | None = None, limit: int | None = None, offset: int = 0
+    memories: DataFrame, flt: MemoryFilter | None = None, limit: int | None = None, offset: int = 0, shallow: int = SHALLOW
 ) -> DataFrame:
-    rows = without_embedding(apply_filter(memories, flt))
-    return rows.orderBy(*newest_first()).offset(max(offset, 0)).limit(positive_or(limit, DEFAULT_PAGE))
+    """Newest rows from ``offset`` on. Pages that end beyond ``shallow`` rows are found by :func:`deep_page`."""
+    rows, limit, offset = without_embedding(apply_filter(memories, flt)), positive_or(limit, DEFAULT_PAGE), max(offset, 0)
+    if offset + limit > shallow:
+        return deep_page(rows, limit, offset)
+    return rows.orderBy(*newest_first()).offset(offset).limit(limit)
+
+
+def deep_page(memories: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page anywhere in the list, without the rows before it ever meeting in one task.
+
+    Times and ids are range partitioned and counted by partition; only the partitions that the page lies in
+    are ranked, and wide columns are fetched for the page alone.
+    """
+    order = newest_first()
+    narrow = memories.select("created_at", "id").repartitionByRange(*order).select("created_at", "id", F.spark_partition_id().alias("_part"))
+    placed = durable(narrow)
+    # One row per shuffle partition.
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").count().collect())
+    before, touched = 0, []
+    for part, size in sizes:
+        if before < offset + limit and before + size > offset:
+            touched.append((part, before))
+        before += size
+    if not touched:
+        return memories.limit(0)
+    starts = F.create_map(*(F.lit(x) for pair in touched for x in pair))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + starts[F.col("_part")]
+    inside = placed.where(F.col("_part").isin([part for part, _ in touched])).withColumn("_place", rank)
+    wanted = durable(inside.where((F.col("_place") > offset) & (F.col("_place") <= offset + limit)).select("id"))
+    return memories.join(F.broadcast(wanted) if limit <= SHALLOW else wanted, "id", "left_semi")
 
 
 def total(memories: DataFrame, flt: MemoryFilter | None = None) -> DataFrame:

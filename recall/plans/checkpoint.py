@@ -16,16 +16,32 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        # Executors of a local cluster are processes of their own, as on any cluster.
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="recall-checkpoint-")
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Folders that this process has named, for :func:`clear`.
+_named: list[str] = []
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/recall-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark).rstrip('/')}/recall-{uuid.uuid4()}"
+    _named.append(folder)
+    return folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; call it when the results that read them are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _named:
+        path = hadoop(_named.pop())
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from recall.operators.embed import Embedder, embed_texts, embedding_problem
+from recall.operators.graph import writes_of
 from recall.operators.ingest import ingest, memory_id, normalised, validate, with_hash
 from recall.operators.maintain import REMOVED
 from recall.operators.profile import observe
@@ -141,6 +142,19 @@ def triple_stream(texts: DataFrame) -> DataFrame:
     return extract_triples(texts)
 
 
+def graph_stream(texts: DataFrame, root: str, order: str = "memory_id", job: str = "graph") -> DataStreamWriter:
+    """Writer that adds the triples of each micro-batch to the graph at ``root``.
+
+    A micro-batch writes what it found and reads nothing; ``order`` tells which text is later, in whatever batch it comes.
+    :func:`recall.operators.graph.settled` makes the graph of what was written.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        snapshots.append_writes(writes_of(batch, order), root, batch_name(batch.sparkSession, job, number))
+
+    return texts.writeStream.foreachBatch(add)
+
+
 def trait_stream(observations: DataFrame, seq: str = "seq") -> DataFrame:
     """Traits of a stream of observations, for update or complete mode.
 

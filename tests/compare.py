@@ -14,6 +14,7 @@ import duckdb
 import pandas as pd
 
 import __spark_entry__ as contract
+from recall.plans import checkpoint
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -70,6 +71,7 @@ def main() -> int:
         except Exception as e:  # report and go on with the next query
             took, state = time.time() - started, f"FAILED {type(e).__name__} {str(e)[:600]}"
             ours = pd.DataFrame()
+        checkpoint.clear(spark)
         bad += state.startswith(("DIFFERS", "FAILED"))
         print(f"{name:28} {took:6.2f}s {len(ours):7} rows  {state}", flush=True)
     return bad

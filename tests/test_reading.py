@@ -2,6 +2,8 @@
 
 from datetime import timedelta
 
+import pytest
+
 from recall.operators import listing, stats
 from recall.operators.filters import MemoryFilter, lookup_hashes, lookup_ids, of_type, with_embedding
 from recall.operators.ingest import normalised
@@ -90,3 +92,42 @@ def test_normalised_fills_absent_values(spark):
 def test_default_sizes():
     assert [positive_or(v, 10) for v in (None, 0, -3, 4)] == [10, 10, 10, 4]
     assert [clamp_depth(v) for v in (None, 0, 2, 9)] == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize(("limit", "offset"), [(5, 0), (7, 93), (40, 55), (10, 195), (10, 200), (500, 0)])
+def test_deep_pages_equal_shallow_ones(spark, limit, offset):
+    rows = [memory(f"m{i * 37 % 200:03}", f"text {i}", created_at=START + hours(i // 30)) for i in range(200)]
+    m = memories(spark, rows).repartition(5)
+    columns = ["id", "content", "created_at"]
+    shallow = [tuple(r) for r in listing.page(m, None, limit, offset).select(columns).collect()]
+    deep = listing.page(m, None, limit, offset, shallow=0)
+    assert "embedding" not in deep.columns
+    assert sorted(tuple(r) for r in deep.select(columns).collect()) == sorted(shallow)
+
+
+def test_deep_pages_rank_touched_partitions_only(spark, monkeypatch):
+    m = memories(spark, [memory(f"m{i:04}", created_at=START + hours(i)) for i in range(2000)])
+    seen = []
+    real = listing.durable
+    monkeypatch.setattr(listing, "durable", lambda df: seen.append(df) or real(df))
+    assert listing.page(m, None, 20, 1000, shallow=0).count() == 20
+    # The second table is made from the first by a filter on its partitions, which reaches the scan.
+    plan = seen[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "_part" in plan.split("PushedFilters")[1].split("]")[0]
+    assert listing.page(m, None, 20, 5000, shallow=0).count() == 0
+
+
+def test_newest_of_a_hot_scope(spark, monkeypatch):
+    """A scope with half of all rows sends at most n rows of each part to its last task."""
+    rows = [memory(f"m{i:04}", user_id="hot" if i % 2 else f"u{i % 50}", created_at=START + hours(i * 7919 % 500)) for i in range(1000)]
+    m = memories(spark, rows).repartition(6)
+    found = {}
+    for r in listing.newest_per_scope(m, ["user_id"], 4).collect():
+        found.setdefault(r.user_id, []).append((r.position, r.id))
+    for user, got in found.items():
+        ordered = sorted((r for r in rows if r["user_id"] == user), key=lambda r: (-r["created_at"].timestamp(), r["id"]))
+        assert sorted(got) == [(i + 1, r["id"]) for i, r in enumerate(ordered[:4])]
+    narrow = m.select("user_id", "created_at", "id")
+    plan = listing.newest_per_scope(narrow, ["user_id"], 4)._jdf.queryExecution().executedPlan().toString()
+    # Ranked by part and scope, each with its limit before the shuffle.
+    assert plan.count("WindowGroupLimit") >= 3

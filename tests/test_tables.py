@@ -108,6 +108,23 @@ def test_graph_tables(spark, tmp_path):
     assert grown.mentions.count() == 4 and grown.entities.count() == 2
 
 
+def test_graph_stream_equals_one_batch(spark, tmp_path):
+    schema = "memory_id string, content string"
+    rows = [("3", "App uses Redis. App uses Vim"), ("1", "app uses redis. It is a tool"), ("2", "APP depends on Go"), ("4", "nothing"), ("0", "Redis is a cache")]
+    source, root = str(tmp_path / "in"), str(tmp_path / "graph")
+    files(spark, source, [spark.createDataFrame(rows[i : i + 2], schema) for i in (0, 2, 4)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    finish(jobs.graph_stream(stream, root), tmp_path)
+    grown = graph.settled(snapshots.read_writes(spark, root))
+    whole = graph.build(spark.createDataFrame(rows, schema), now=NOW)
+    for got, expected, columns in (
+        (grown.entities, whole.entities, ["id", "name", "type"]),
+        (grown.mentions, whole.mentions, ["entity_id", "memory_id", "text_order"]),
+        (grown.relations, whole.relations, ["id", "from_id", "to_id", "type", "weight", "memory_ids"]),
+    ):
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
+
+
 def test_durable_tables_go_to_the_shared_folder(spark):
     df = durable(spark.range(5).withColumn("s", F.struct("id")))
     assert df.count() == 5 and "InMemoryFileIndex" in df._jdf.queryExecution().toString()
