@@ -1,0 +1,70 @@
+"""Each stage of the pipeline on odd rows, and the chain as a whole."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from recall.llm import mixing, simhash_dedup
+from tests.llm.test_operators import PROSE
+
+FOLDER = "/root/testdata/sf0.001"
+EXTRA = ["row", "name", "_name", "topic", "probability", "taken", "tokens", "words", "numbers", "_part", "fp", "component_id", "score", "label", "draw", "_text"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+GOOD = [f"A calm sentence of plain words about {p}." for p in PROSE]
+
+ROWS = [(i, GOOD[i % 12] + f" number {i // 12}", "en", "src1", 10) for i in range(24)]
+ROWS += [(None, GOOD[3], "en", None, None), (None, None, None, None, None), (50, "", "de", "src2", 0), (51, None, "en", "src1", None)]
+ROWS += [(60, "long words " * 60_000, "en", "src1", 1), (61, GOOD[5], None, "src1", 1), (61, GOOD[5], None, "src1", 1), (61, GOOD[6] + " quite another text", "en", "src1", 1)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(*r, *(f"{c}-{n}" for c in EXTRA)) for n, r in enumerate(ROWS)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stage_takes_odd_rows_and_empty_tables(spark, docs, name, stage):
+    result = stage(spark, docs, FOLDER)
+    added = ["shard", "slot"] if name == "sharding" else []
+    assert result.columns == [*docs.columns, *added]
+    given = {tuple(r) for r in docs.collect()}
+    found = [tuple(r)[: len(docs.columns)] for r in result.collect()]
+    assert set(found) <= given and len(found) == len(set(found))  # rows as they came, none made up
+    empty = stage(spark, docs.limit(0), FOLDER)
+    assert empty.columns == result.columns and empty.count() == 0
+    if name == "near_duplicates":
+        kept = {(r[0], r[1]) for r in found}
+        assert {(61, GOOD[5]), (61, GOOD[6] + " quite another text")} & kept and len([r for r in found if not r[1]]) == 1
+    if name == "sharding":
+        assert len(found) == len(ROWS) and len({tuple(r)[-2:] for r in result.collect()}) == len(ROWS)
+
+
+def test_near_duplicates_keep_one_of_each_component(spark, docs):
+    plain = docs.where("doc_id is not null and doc_id <> 61")
+    groups = simhash_dedup.near_duplicates(plain)
+    kept = corpus_pipeline.near_duplicates(spark, plain, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
+
+
+def test_rows_of_one_id_with_unlike_texts_stay_both(spark):
+    rows = [(1, PROSE[0], "en", "s", 1), (1, PROSE[4], "en", "s", 1), (2, PROSE[0], "en", "s", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, table, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, PROSE[0]), (1, PROSE[4])])
+
+
+def test_no_leaks_and_mixture_equal_their_operators(spark):
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    weighed = mixing.with_topic(table, spark.read.parquet(f"{FOLDER}/embeddings.parquet"), "doc_id", "vec_id", "label")
+    taken = mixing.mixed(weighed, mixing.words(F.col("text")), F.col("doc_id")).where("taken")
+    found = corpus_pipeline.mixture(spark, table, FOLDER)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in taken.collect())
+
+
+def test_chain_equals_its_stages(spark):
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()]
+    for _, stage in corpus_pipeline.STAGES:
+        table = spark.createDataFrame(stage(spark, table, FOLDER).toArrow())
+    assert sorted(ids) == sorted(r.doc_id for r in table.collect()) and len(ids) == len(set(ids)) > 0
