@@ -593,3 +593,4 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT DISTINCT sha256(text), 'fact', '', 64 FROM conversations WHERE text NOT IN (SELECT text FROM first)""",
 }
 ORACLES["store_update"] = ORACLES["update_apply"]
+ORACLES["graph_find_stored"] = ORACLES["graph_find"]

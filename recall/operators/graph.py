@@ -20,6 +20,8 @@ GRAM = 3
 # Queries up to which they are broadcast; with all their runs some 10 MB.
 FEW_QUERIES = 5_000
 FEW_BYTES = 1_000_000
+# Candidates up to which they are broadcast to the names: two ids and a text each, some 20 MB.
+FEW_CANDIDATES = 100_000
 
 
 @dataclass(frozen=True)
@@ -250,14 +252,38 @@ def _runs(rows: DataFrame, column: str, sizes: Sequence[int], shortest: int = 1)
     )
 
 
-def find_entities_batch(queries: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+def name_index(entities: DataFrame) -> DataFrame:
+    """Which names have which runs of one to three characters: (``gram``, ``id``), each once."""
+    return _postings(entities).distinct()
+
+
+def _postings(entities: DataFrame) -> DataFrame:
+    names = entities.select("id", text.lowered(F.col("name")).alias("_lower"))
+    return _runs(names, "_lower", range(1, GRAM + 1)).select(F.col("_gram").alias("gram"), "id")
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lower-cased queries, and the runs that any name they are in must have; shorter queries are their own run."""
+    asked = queries.select("query_id", text.lowered(F.col("query")).alias("_query"))
+    short = asked.where(F.char_length("_query") < GRAM).withColumn("_gram", F.col("_query"))
+    return asked, _runs(asked, "_query", [GRAM], GRAM).unionByName(short)
+
+
+def asked_grams(queries: DataFrame) -> DataFrame:
+    """Runs (``gram``) that decide a table of queries."""
+    return grouped(_asked(queries)[1].where("_gram <> ''").select(F.col("_gram").alias("gram")), ["gram"])
+
+
+def find_entities_batch(
+    queries: DataFrame, entities: DataFrame, limit: int | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """:func:`find_entities` for a table of ``query_id, query``, with ``rank`` from 1.
 
     Substring tests become an equi-join: a name containing a query contains all of
-    its three-character runs, and the rarest of them is the join key. Shorter
-    queries are their own key. Up to a checked number of queries, they go to the
-    entities, which then stay where they are; more are joined by a shuffle. Left
-    alone, Spark could broadcast the runs, whose number it underestimates.
+    its three-character runs, and the rarest of them is the join key. Runs and ids alone are joined, from ``index``
+    (:func:`name_index`) if it is given; names are looked up for the candidates that this leaves. Up to a checked number
+    of queries and of candidates, they go to the other side, which then stays where it is; more are joined
+    by a shuffle. Left alone, Spark could broadcast the runs, whose number it underestimates.
     """
     limit = positive_or(limit, DEFAULT_GRAPH_LIMIT)
     measured = queries.limit(FEW_QUERIES + 1).agg(
@@ -265,33 +291,27 @@ def find_entities_batch(queries: DataFrame, entities: DataFrame, limit: int | No
     )
     size = measured.first()
     few = size["n"] <= FEW_QUERIES and size["bytes"] <= FEW_BYTES
-    asked = queries.select("query_id", text.lowered(F.col("query")).alias("_query"))
-    is_short = F.char_length("_query") < GRAM
-    asked_keys = _runs(asked, "_query", [GRAM], GRAM).unionByName(
-        asked.where(is_short).withColumn("_gram", F.col("_query"))
-    )
-    names = entities.select("id", "name", text.lowered(F.col("name")).alias("_lower"))
-    runs = _runs(names, "_lower", range(1, GRAM + 1))
-    # The empty query finds every name; its page needs only the first ones.
-    first_names = names.orderBy("name", "id").limit(limit).withColumn("_gram", F.lit(""))
-    counted = runs
-    if few:
-        counted = runs.join(F.broadcast(grouped(asked_keys, ["_gram"])), "_gram", "left_semi")
-    frequency = counted.groupBy("_gram").agg(F.count("*").alias("_names"))
+    _, keys = _asked(queries)
+    postings = (_postings(entities) if index is None else index).select(F.col("gram").alias("_gram"), "id")
+    wanted = grouped(keys, ["_gram"])
+    found = postings.join(F.broadcast(wanted) if few else wanted.hint("merge"), "_gram", "left_semi")
+    found = durable(found.distinct() if index is None else found)
+    frequency = found.groupBy("_gram").agg(F.count("*").alias("_names"))
     rarest = (
-        asked_keys.join(frequency, "_gram", "left")
+        keys.join(frequency, "_gram", "left")
         .groupBy("query_id", "_query")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_names", F.lit(0)), "_gram")).alias("_gram"))
     )
-    sought = F.broadcast(rarest) if few else rarest.hint("merge")
-    hits = runs.unionByName(first_names).join(sought, "_gram").where(F.col("_lower").contains(F.col("_query")))
+    candidates = durable(found.join(F.broadcast(rarest) if few else rarest.hint("merge"), "_gram").select("query_id", "_query", "id"))
+    sought = F.broadcast(candidates) if candidates.count() <= FEW_CANDIDATES else candidates.hint("merge")
+    names = entities.select("id", "name", text.lowered(F.col("name")).alias("_lower"))
+    hits = names.join(sought, "id").where(F.col("_lower").contains(F.col("_query"))).select("query_id", "id", "name")
+    # The empty query finds every name; its page needs only the first ones.
+    everything = F.broadcast(names.select("id", "name").orderBy("name", "id").limit(limit))
+    unspecific = queries.where("query = ''").select("query_id").join(everything)
     by_name = Window.partitionBy("query_id").orderBy("name", "id")
-    return (
-        # A name holding the key twice is there twice, under one rank.
-        hits.select("query_id", "id", "name", F.dense_rank().over(by_name).alias("rank"))
-        .where(F.col("rank") <= limit)
-        .distinct()
-    )
+    ranked = hits.unionByName(unspecific.select("query_id", "id", "name")).withColumn("rank", F.row_number().over(by_name))
+    return ranked.where(F.col("rank") <= limit)
 
 
 def _ends(relations: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from recall.functions import text
 from recall.operators import graph
 from recall.operators.triples import entity_id, entity_type, extract_triples, relation_id
 from recall.schema import ENTITIES, RELATIONS
+from recall.sources import snapshots
 from tests.data import sha
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -195,3 +196,27 @@ def test_excerpts_and_quotes(spark):
     df = spark.createDataFrame([("this is a longer string",), ("exactly10!",), (" \u3000x\n",), ('a"b\\\n\t',)], "s string")
     assert [r.c for r in df.select(text.clipped(F.col("s"), 10).alias("c")).collect()] == ["this is...", "exactly10!", "x", 'a"b\\']
     assert df.select(text.quoted(F.col("s")).alias("q")).collect()[3].q == '"a\\"b\\\\\\n\\t"'
+
+
+def test_find_with_a_stored_index(spark, tmp_path):
+    names = [f"Service {i} for {w}" for i, w in enumerate(["billing", "Search", "MAIL", "it", "x"] * 20)] + ["it", "I", "ÄÖÜ tool", "aaaaaa"]
+    entities = spark.createDataFrame([(f"e{i:03}", n) for i, n in enumerate(names)], "id string, name string")
+    snapshots.write_name_index(graph.name_index(entities), str(tmp_path / "i"), 16)
+    asked = ["bill", "SEARCH", "it", "", "i", "äöü", "nothing", "service 1", "aaa"]
+    queries = spark.createDataFrame([(q, q) for q in asked], "query_id string, query string")
+    index = snapshots.read_name_index(spark, str(tmp_path / "i"), graph.asked_grams(queries))
+    assert "PartitionFilters: [bucket" in index._jdf.queryExecution().toString()
+    found = {}
+    for r in sorted(graph.find_entities_batch(queries, entities, 4, index).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.id)
+    for q in asked:
+        expected = [r.id for r in graph.find_entities(entities, q, 4).collect()]
+        assert found.get(q, []) == expected
+
+
+def test_names_are_not_shuffled_for_few_candidates(spark):
+    entities = spark.createDataFrame([(f"e{i:03}", f"name {i}") for i in range(200)], "id string, name string").repartition(4)
+    queries = spark.createDataFrame([("q", "name 17"), ("p", "e 3")], "query_id string, query string")
+    plan = graph.find_entities_batch(queries, entities, 5)._jdf.queryExecution().executedPlan().toString()
+    # Names meet the candidates by a broadcast; only hits are ranked.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
