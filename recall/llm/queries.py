@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +86,8 @@ def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # the other queries do without vocabularies
+
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer, scratch_folder(spark))
 
