@@ -307,8 +307,9 @@ def find_entities_batch(
     names = entities.select("id", "name", text.lowered(F.col("name")).alias("_lower"))
     hits = names.join(sought, "id").where(F.col("_lower").contains(F.col("_query"))).select("query_id", "id", "name")
     # The empty query finds every name; its page needs only the first ones.
-    everything = F.broadcast(names.select("id", "name").orderBy("name", "id").limit(limit))
-    unspecific = queries.where("query = ''").select("query_id").join(everything)
+    # Their key is that query; written as a literal, Spark would make a join without a key of it.
+    everything = names.orderBy("name", "id").limit(limit).select("id", "name", F.substring("name", 1, 0).alias("query"))
+    unspecific = queries.select("query_id", "query").join(F.broadcast(everything), "query")
     by_name = Window.partitionBy("query_id").orderBy("name", "id")
     ranked = hits.unionByName(unspecific.select("query_id", "id", "name")).withColumn("rank", F.row_number().over(by_name))
     return ranked.where(F.col("rank") <= limit)

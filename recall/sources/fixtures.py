@@ -60,11 +60,9 @@ def event_memories(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
     d = table(spark, folder, "documents").select("doc_id", "text")
-    vectors = v.agg(F.count(F.lit(1)).alias("n_vectors"))
-    documents = d.agg(F.count(F.lit(1)).alias("n_documents"))
-    # One row each.
-    e = e.join(F.broadcast(vectors)).join(F.broadcast(documents))
-    e = e.withColumns({"vec_id": F.pmod("event_id", "n_vectors"), "doc_id": F.pmod("event_id", "n_documents")})
+    # Of empty tables nothing is met.
+    places = {"vec_id": max(v.count(), 1), "doc_id": max(d.count(), 1)}
+    e = e.withColumns({name: F.pmod("event_id", F.lit(count)) for name, count in places.items()})
     memory_type = F.create_map(*[F.lit(x) for pair in TYPE_OF_EVENT.items() for x in pair])[F.col("event_type")]
     return e.join(v, "vec_id").join(d, "doc_id").select(
         F.col("event_id").cast("string").alias("id"),

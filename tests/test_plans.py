@@ -37,7 +37,9 @@ def test_lists_and_statistics_do_not_read_vectors(stored):
 
 
 def test_rank_limits_apply_on_the_map_side(stored):
-    assert plan_of(listing.newest_per_scope(stored, ["user_id"], 5)).count("WindowGroupLimit") == 2
+    narrow = stored.select("user_id", "created_at", "id")
+    # Within parts of a scope, and then among the parts' best.
+    assert plan_of(listing.newest_per_scope(narrow, ["user_id"], 5)).count("WindowGroupLimit") >= 3
 
 
 def test_search_never_shuffles_memories(spark, stored):
