@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recall.functions import topk
 from recall.operators import search
 from recall.operators.embed import HashingEmbedder, NativeHashingEmbedder, embed
 from recall.operators.filters import MemoryFilter
@@ -180,3 +182,21 @@ def test_vectors_of_another_size(spark):
         assert ranked(search.knn(queries, memories(spark, rows), 5, strategy=strategy)) == {"q": ["a", "c"]}
     with pytest.raises(ValueError, match="2 to 3 dimensions"):
         search.knn(queries.union(spark.createDataFrame([("r", [1.0, 0.0, 0.0])], QUERIES)), memories(spark, rows), 5)
+
+
+def test_equal_queries_and_memories_are_compared_once():
+    """Every copy gets its answer, and all copies among the memories are found, by one comparison."""
+    ids = pa.array([f"{i:03}" for i in range(300)])
+    vectors = topk.unit(clustered(3, 300).astype(float))
+    vectors[100:] = vectors[np.arange(200) % 4]
+    asked = topk.Block(ids, vectors)
+    best = topk.TopK(asked, 60)
+    best.offer(asked)
+    assert len(best.queries) == 100
+    found = {}
+    for row in best.result().to_pylist():
+        found.setdefault(row["query_id"], []).append((row["distance"], row["id"]))
+    distances = topk.distances(vectors, vectors)
+    for i, name in enumerate(ids.to_pylist()):
+        expected = sorted(zip(distances[i].tolist(), ids.to_pylist(), strict=True))[:60]
+        assert [x for _, x in sorted(found[name])] == sorted([x for _, x in expected], key=[x for _, x in expected].index)
