@@ -199,4 +199,24 @@ def test_equal_queries_and_memories_are_compared_once():
     distances = topk.distances(vectors, vectors)
     for i, name in enumerate(ids.to_pylist()):
         expected = sorted(zip(distances[i].tolist(), ids.to_pylist(), strict=True))[:60]
-        assert [x for _, x in sorted(found[name])] == sorted([x for _, x in expected], key=[x for _, x in expected].index)
+        assert [x for _, x in sorted(found[name])] == [x for _, x in expected]
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_vectors_without_clusters_are_not_sent_to_cells(spark, monkeypatch, filtered):
+    """Where bounds exclude nothing, a row moves once for each slice of the other side, not once for each cell."""
+    moved = []
+
+    def compared(asked, stored, request, compared=neighbours._compared):
+        moved.append((asked.count(), stored.count()))
+        return compared(asked, stored, request)
+
+    monkeypatch.setattr(neighbours, "_compared", compared)
+    monkeypatch.setattr(neighbours, "SLICE_BYTES", 8 * 32 * 150)
+    vectors = np.random.default_rng(8).normal(size=(300, 32)).astype(np.float32)
+    rows = [memory(f"m{i:03}", embedding=v.tolist(), agent_id="xy"[i % 2]) for i, v in enumerate(vectors)]
+    asked = [{"query_id": f"q{i:03}", "embedding": vectors[i].tolist(), "agent_id": "x" if filtered and i % 3 else ""} for i in range(300)]
+    queries = spark.createDataFrame([tuple(q.values()) for q in asked], f"{QUERIES}, agent_id string")
+    found = ranked(search.knn(queries, memories(spark, rows), 3, strategy="cells"))
+    assert found == brute(asked, rows, 3, lambda q, r: q["agent_id"] in ("", r["agent_id"]))
+    assert moved == [(600, 600)]
