@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from recall.operators import listing, stats
+from recall.operators.embed import NativeHashingEmbedder
 from recall.operators.filters import MemoryFilter
 from recall.sources import snapshots
 from recall.operators import ingest, search
@@ -60,3 +61,10 @@ def test_dedup_pre_aggregates(spark, stored):
 def test_no_query_pairs_rows_without_a_key(spark, name):
     plan = plan_of(contract.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_vectors_are_joined_without_their_texts(spark):
+    texts = spark.createDataFrame([("a", "one two")], "id string, content string").repartition(2)
+    plan = plan_of(NativeHashingEmbedder(8).vectors(texts, "id", "content"))
+    join = plan[plan.index("Join [id"):].split("Generate")[0]
+    assert "_given" in join and "content" not in join.split("Exchange hashpartitioning")[0]
