@@ -272,3 +272,26 @@ def test_trait_and_stats_streams_equal_tables(spark, tmp_path):
     assert {r.memory_type: r.total for r in got.collect()} == {
         r.memory_type: r.total for r in stats.count_by_type(as_memories).collect()
     }
+
+
+@pytest.mark.parametrize("few", [250_000, 30, 1])
+def test_deleting_rows_of_many_buckets_shuffles_no_texts(spark, tmp_path, monkeypatch, few):
+    """Ids go to the rows, some buckets at a time; only buckets with more of them than that are shuffled."""
+    monkeypatch.setattr(maintain, "FEW_IDS", few)
+    root = str(tmp_path / "memories")
+    snapshots.write_memories(memories(spark, [memory(f"m{i}", f"text {i}") for i in range(200)]), root, 8)
+    snapshots.append_batch(memories(spark, [memory(f"n{i}", f"text {i}") for i in range(100)]), root, "b1")
+    gone = [f"m{i}" for i in range(0, 200, 5)] + [f"n{i}" for i in range(0, 100, 2)] + ["none"]
+    plans, real = [], snapshots.stage
+
+    def stage(parts, session):
+        parts = list(parts)
+        plans.extend(p._jdf.queryExecution().executedPlan().toString() for p in parts)
+        return real(parts, session)
+
+    monkeypatch.setattr(snapshots, "stage", stage)
+    maintain.delete_stored(spark, root, spark.createDataFrame([(x,) for x in gone], "id string"))
+    left = {r.id: r.content for r in snapshots.read_memories(spark, root).collect()}
+    assert left == {f"{k}{i}": f"text {i}" for k, n in (("m", 200), ("n", 100)) for i in range(n) if f"{k}{i}" not in gone}
+    assert few == 1 or not any("hashpartitioning" in p for p in plans)
+    assert {r.id for r in snapshots.read_outcome(spark, root, maintain.REMOVED).collect()} == set(gone) - {"none"}
