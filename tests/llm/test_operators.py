@@ -373,3 +373,43 @@ def test_passage_pairs_against_brute_force(spark):
     joined = sum(top(a) == top(b) for a, b in wanted)
     # A version that is far from its family's first one may hang on nobody: 196 of 212 here.
     assert len(wanted) > 150 and joined >= 0.9 * len(wanted)
+
+
+def test_passages_lose_no_link(spark):
+    """Versions far from their family's first one, with words changed, left out and put in: all that brute force finds is connected."""
+    rng = np.random.default_rng(17)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10**6, n)]
+    texts, wanted = {}, set()
+    for _ in range(60):
+        passage, family = prose(int(rng.integers(55, 140))), []
+        for _ in range(7):
+            changed = list(passage)
+            for at in sorted(rng.choice(len(passage), int(rng.integers(1, 5)), replace=False), reverse=True):
+                changed[at : at + 1] = [[], ["edit", f"e{rng.integers(10**6)}"], [f"e{rng.integers(10**6)}"]][rng.integers(3)]
+            texts[len(texts)] = " ".join(prose(int(rng.integers(0, 90))) + changed + prose(40))
+            family.append(len(texts) - 1)
+        hashes = {i: passages.shingle_hashes(texts[i]) for i in family}
+        wanted |= {(b, a) for a in family for b in family if a < b and passages.common_passages(hashes[b], hashes[a])}
+    found = passages.near_duplicate_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found:
+        a, b = top(r.doc_id), top(r.match_id)
+        root[max(a, b)] = min(a, b)
+    assert len(wanted) > 300 and all(top(a) == top(b) for a, b in wanted)
+    assert all(r.match_id < r.doc_id for r in found) and len({(r.doc_id, r.match_id, r.first_word, r.match_first_word) for r in found}) == len(found)
+
+
+def test_passages_of_copies_hang_on_one_document(spark):
+    """A passage in many documents makes as many rows, not as many as its pairs."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10**6, n)]
+    passage = prose(55)
+    rows = spark.createDataFrame([(i, " ".join(prose(30) + passage + prose(30))) for i in range(1200)], "doc_id long, text string")
+    found = passages.near_duplicate_passages(rows).collect()
+    assert {(r.doc_id, r.match_id) for r in found} == {(i, 0) for i in range(1, 1200)} and len(found) == 1199
