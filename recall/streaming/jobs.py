@@ -67,10 +67,13 @@ def ingest_stream(
     A micro-batch is written under its own name, so running it a second time gives the same table, and no
     other stream or checkpoint writes over it. Its duplicates and rejects are kept beside the table
     (:func:`recall.sources.snapshots.read_outcome`). Streams of one table need job names of their own; a second
-    checkpoint with a used name is refused. The caller sets trigger and checkpoint folder, and starts it.
+    checkpoint with a used name is refused. The caller sets trigger and checkpoint folder, and starts it. The session's state store
+    is set to RocksDB, without which keys cannot be looked up one by one; streams that have a checkpoint keep the one they have.
     """
     spark = arriving.sparkSession
     snapshots.create(spark, root)
+    for key, value in dedup.STORE.items():
+        spark.conf.set(key, value)
     checked = with_hash(validate(normalised(arriving)))
     if "id" not in arriving.columns:
         checked = checked.withColumn("id", memory_id(job, SCOPE))

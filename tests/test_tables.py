@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from recall.operators import graph, ingest, maintain, profile, stats
@@ -11,7 +12,7 @@ from recall.operators.embed import HashingEmbedder
 from recall.operators.triples import extract_triples
 from recall.plans.checkpoint import durable
 from recall.sources import snapshots
-from recall.streaming import jobs
+from recall.streaming import dedup, jobs
 from tests.data import memories, memory
 
 NOW = datetime(2024, 1, 1)
@@ -295,3 +296,46 @@ def test_deleting_rows_of_many_buckets_shuffles_no_texts(spark, tmp_path, monkey
     assert left == {f"{k}{i}": f"text {i}" for k, n in (("m", 200), ("n", 100)) for i in range(n) if f"{k}{i}" not in gone}
     assert few == 1 or not any("hashpartitioning" in p for p in plans)
     assert {r.id for r in snapshots.read_outcome(spark, root, maintain.REMOVED).collect()} == set(gone) - {"none"}
+
+
+class Looked:
+    """A map of keys to values that counts how often it is looked into."""
+
+    def __init__(self):
+        self.kept, self.times = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.times += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+
+def test_a_call_decides_many_keys_and_looks_each_up_once():
+    store, decide = Looked(), dedup._Decide()
+    decide.init(store)
+    arrived = Row("content_hash", *dedup.SCOPE, "id", "order", "own", "payload", "lane")
+
+    def verdicts(*rows):
+        made = [arrived(key, "", "", "", "", f"id{n}", {"source": 1, "n": n}, own, f"{key}{n}", lane) for n, key, own, lane in rows]
+        return {r.payload: (r.duplicate_of, r.waits) for r in decide.handleInputRows((0,), iter(made), None)}
+
+    # The rows of a key come in any order; those that answer only get no verdict.
+    first = verdicts((5, "a", True, ""), (2, "a", True, ""), (3, "b", True, ""), (1, "b", False, ""), (9, "c", True, "waits"))
+    assert first == {"a5": ("id2", False), "a2": (None, False), "b3": ("id1", False), "c9": (None, True)}
+    assert store.times == 2
+    assert verdicts((0, "a", True, ""), (7, "a", True, ""), (8, "d", True, "")) == {"a0": ("id2", False), "a7": ("id2", False), "d8": (None, False)}
+    assert store.times == 4
+
+
+def test_a_stream_calls_by_bucket(spark, tmp_path):
+    """Keys are kept by bucket, and all rows have their verdict."""
+    source, root = str(tmp_path / "in"), str(tmp_path / "memories")
+    files(spark, source, [spark.range(9000).selectExpr("concat('t', id % 6000) content", "'fact' memory_type", "id n")])
+    progress = stream_of(spark, source, "content string, memory_type string, n long", "j", root, tmp_path)
+    assert progress[0]["stateOperators"][0]["operatorName"].startswith("transformWithState")
+    assert len(ids(spark, root)) == 6000 and snapshots.read_outcome(spark, root, "duplicates").count() == 3000
