@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recall.operators import consolidate
 from recall.schema import CLUSTER_THRESHOLD
@@ -191,3 +192,19 @@ def test_caps_are_parameters(spark):
     assert consolidate.consolidate(m, now=NOW, seeds=2, neighbours=4).results.first().merged_count == 5
     all_ = consolidate.consolidate(m, now=NOW, neighbours=30).insights.collect()
     assert [len(r.source_ids) for r in all_] == [30]
+
+
+def test_texts_of_other_rows_are_not_looked_at(spark):
+    """Seeds are found by scope, time and id; only then are their texts and vectors read."""
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") >= 2985, F.format_string("text %d", "id")).otherwise(F.raise_error("looked at")).alias("content"),
+        F.lit("fact").alias("memory_type"),
+        F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("user_id"),
+        F.array(F.lit(1.0).cast("float")).alias("embedding"),
+        F.timestamp_seconds(F.col("id")).alias("created_at"),
+    )
+    seeds = consolidate.find_seeds(rows, ("user_id",), 4).collect()
+    assert sorted((r.user_id, r.position, r.id, r.excerpt) for r in seeds) == [
+        (f"u{u}", p, str(n), f"text {n}") for u in range(3) for p, n in enumerate(range(2997 + u, 0, -3), 1) if p <= 4
+    ]
