@@ -413,3 +413,27 @@ def test_passages_of_copies_hang_on_one_document(spark):
     rows = spark.createDataFrame([(i, " ".join(prose(30) + passage + prose(30))) for i in range(1200)], "doc_id long, text string")
     found = passages.near_duplicate_passages(rows).collect()
     assert {(r.doc_id, r.match_id) for r in found} == {(i, 0) for i in range(1, 1200)} and len(found) == 1199
+
+
+def test_passages_aside_are_brought_together_once(spark, monkeypatch):
+    """Rows that share a line but no passage with a large family: texts meet, and only those alike enough are compared."""
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10**6, n)]
+    passage = prose(60)
+    line = passage[20:46]
+    # Two versions that are too far from the family's first one, but not from each other; one that is near to a single member.
+    far = passage[:17] + prose(3) + line + prose(4) + passage[50:]
+    texts = [(0, passage)] + [(i, prose(30) + passage + prose(30)) for i in range(1, 60)] + [(i, prose(30) + line + prose(60)) for i in range(60, 120)]
+    texts += [(120, prose(20) + far + prose(20)), (121, far)]
+    hashes = {i: passages.shingle_hashes(" ".join(t)) for i, t in texts}
+    rows = [(i >= 60, i, i if i >= 60 else 0, hashes[i]) for i in hashes] + [(False, i, i, hashes[i]) for i in hashes if i >= 60]
+    compared, compare = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda a, b: compared.append(1) or compare(a, b))
+    found = passages._links(rows)
+    assert {x[:2] for x in found} == {(121, 120)} and len(compared) <= 2 * 60 + 2
+    monkeypatch.undo()
+    # Slices of a few rows give the same connections.
+    monkeypatch.setattr(passages, "SLICE_BYTES", 5_000)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = {(r.doc_id, r.match_id) for r in passages.near_duplicate_passages(frame).collect()}
+    assert {(i, 0) for i in range(1, 60)} <= got and (121, 120) in got and {x for p in got for x in p} == {*range(60), 120, 121}
