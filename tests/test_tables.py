@@ -1,6 +1,8 @@
 """Stored tables and streams."""
 
+import os
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from recall.operators import graph, ingest, maintain, profile, stats
 from recall.operators.embed import HashingEmbedder
 from recall.operators.triples import extract_triples
-from recall.plans.checkpoint import durable
+from recall.plans.checkpoint import discard, durable
 from recall.sources import snapshots
 from recall.streaming import dedup, jobs
 from tests.data import memories, memory
@@ -131,6 +133,23 @@ def test_durable_tables_go_to_the_shared_folder(spark):
     assert df.count() == 5 and "InMemoryFileIndex" in df._jdf.queryExecution().toString()
 
 
+def test_durable_tables_leave_no_shuffles(spark):
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffles()
+    rows = durable(spark.range(1000).repartition(5, "id").withColumn("s", F.lit("x")))
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and rows.count() == 1000
+    folder = rows.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    discard(rows)
+    assert not os.path.exists(folder)
+
+
 def files(spark, folder, parts):
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(folder)
@@ -298,6 +317,26 @@ def test_deleting_rows_of_many_buckets_shuffles_no_texts(spark, tmp_path, monkey
     assert {r.id for r in snapshots.read_outcome(spark, root, maintain.REMOVED).collect()} == set(gone) - {"none"}
 
 
+def test_a_delete_makes_no_second_copy_of_the_table(spark, tmp_path, monkeypatch):
+    """Some buckets at a time are staged, replaced and deleted from the shared folder."""
+    monkeypatch.setattr(maintain, "FEW_ROWS", 40, raising=False)
+    root = str(tmp_path / "memories")
+    snapshots.write_memories(memories(spark, [memory(f"m{i}", f"text {i}") for i in range(200)]), root, 8)
+    staged, sizes, real = [], [], snapshots.stage
+
+    def stage(parts, session):
+        assert not any(os.path.exists(x) for x in staged)
+        found = real(parts, session)
+        sizes.append(found.count())
+        staged.append(found.inputFiles()[0].removeprefix("file:").partition("/batch=")[0])
+        return found
+
+    monkeypatch.setattr(snapshots, "stage", stage)
+    maintain.delete_stored(spark, root, spark.createDataFrame([(f"m{i}",) for i in range(0, 200, 5)], "id string"))
+    assert ids(spark, root) == sorted(f"m{i}" for i in range(200) if i % 5)
+    assert sum(sizes) == 160 and max(sizes) <= 80 and not any(os.path.exists(x) for x in staged)
+
+
 class Looked:
     """A map of keys to values that counts how often it is looked into."""
 
