@@ -220,3 +220,28 @@ def test_vectors_without_clusters_are_not_sent_to_cells(spark, monkeypatch, filt
     found = ranked(search.knn(queries, memories(spark, rows), 3, strategy="cells"))
     assert found == brute(asked, rows, 3, lambda q, r: q["agent_id"] in ("", r["agent_id"]))
     assert moved == [(600, 600)]
+
+
+@pytest.mark.parametrize("strategy", ["cells", "blocks", "scoped"])
+def test_searches_that_move_much_go_in_waves(spark, small_slices, monkeypatch, strategy):
+    """What is moved never lies on disk as a whole, and the hits are the same."""
+    monkeypatch.setattr(neighbours, "MOVED_BYTES", 40 * (4 * 6 + 64), raising=False)
+    if strategy == "blocks":
+        monkeypatch.setattr(neighbours, "_block_slices", lambda *_: (9, 18))
+        monkeypatch.setattr(neighbours, "reachable", lambda queries, cells, request: np.ones((len(queries), len(cells.occupied)), bool))
+    moved, compared = [], neighbours._compared
+
+    def counted(asked, stored, request):
+        moved.append(asked.count() + stored.count())
+        return compared(asked, stored, request)
+
+    monkeypatch.setattr(neighbours, "_compared", counted)
+    vectors = clustered(5, 120) if strategy != "blocks" else np.random.default_rng(4).normal(size=(120, 6)).astype(np.float32)
+    users = ["hot" if i % 2 == 0 else f"u{i % 3}" for i in range(120)]
+    rows = [memory(f"m{i:03}", embedding=v.tolist(), user_id=u) for i, (v, u) in enumerate(zip(vectors, users, strict=True))]
+    asked = [{"query_id": f"q{i}", "embedding": vectors[i].tolist(), "user_id": users[i] if strategy == "scoped" else ""} for i in range(0, 120, 2)]
+    queries = spark.createDataFrame([tuple(q.values()) for q in asked], f"{QUERIES}, user_id string")
+    expected = brute(asked, rows, 4, lambda q, r: q["user_id"] in ("", r["user_id"]))
+    found = search.knn(queries, memories(spark, rows), 4, strategy="scoped" if strategy == "scoped" else "cells")
+    assert ranked(found) == expected
+    assert len(moved) > 3 and max(moved) <= sum(moved) / 2
