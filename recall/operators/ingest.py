@@ -135,7 +135,7 @@ def ingest(
 
     # The model runs once per distinct new text.
     fresh = decided.where(is_new)
-    vectors = durable(embed_texts(fresh, embedder, key="content_hash"))
+    vectors = embed_texts(fresh, embedder, key="content_hash")
     embedded = fresh.join(vectors, "content_hash", "left")
     problem = embedding_problem(F.col("embedding"), embedder.dimensions)
     new_rows = (

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
-from recall.operators import listing, stats
+from recall.operators import embed, listing, stats
 from recall.operators.embed import NativeHashingEmbedder
 from recall.operators.filters import MemoryFilter
-from recall.sources import snapshots
+from recall.plans import checkpoint
+from recall.sources import fixtures, snapshots
 from recall.operators import ingest, search
 from tests.data import START, memories, memory
 
@@ -68,3 +69,25 @@ def test_vectors_are_joined_without_their_texts(spark):
     plan = plan_of(NativeHashingEmbedder(8).vectors(texts, "id", "content"))
     join = plan[plan.index("Join [id"):].split("Generate")[0]
     assert "_given" in join and "content" not in join.split("Exchange hashpartitioning")[0]
+
+
+def test_memories_without_their_texts_move_none(spark):
+    plan = plan_of(fixtures.memories(spark, FOLDER).drop("content"))
+    assert plan.index("sha2") > plan.rindex("Join")
+
+
+def test_texts_are_kept_only_until_they_have_vectors(spark, monkeypatch):
+    """What brings texts together and what makes vectors of them are two jobs, so their shuffles are not on disk together."""
+    plans, kept, real = [], [], checkpoint.durable
+
+    def durable(df):
+        plans.append(plan_of(df))
+        kept.append(real(df))
+        return kept[-1]
+
+    monkeypatch.setattr(embed, "durable", durable, raising=False)
+    texts = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "three")], "content_hash string, content string").repartition(2)
+    vectors = embed.embed_texts(texts, NativeHashingEmbedder(8), "content_hash")
+    assert {r.content_hash for r in vectors.collect()} == {"a", "b"} and len(plans) == 2
+    assert "Scan parquet" in plans[1] and "first(content" not in plans[1]
+    assert kept[0] not in checkpoint._folders and kept[1] in checkpoint._folders
