@@ -10,8 +10,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from recall.operators import graph, ingest, maintain, profile, stats
-from recall.operators.embed import HashingEmbedder
+from recall.operators.embed import HashingEmbedder, NativeHashingEmbedder
 from recall.operators.triples import extract_triples
+from recall.plans import checkpoint
 from recall.plans.checkpoint import discard, durable
 from recall.sources import snapshots
 from recall.streaming import dedup, jobs
@@ -221,6 +222,15 @@ def test_micro_batches_do_not_read_the_store_again(spark, tmp_path):
     assert snapshots.read_outcome(spark, root, "duplicates").count() == 6
 
 
+def test_a_micro_batch_leaves_no_intermediate_tables(spark, tmp_path):
+    root, named = str(tmp_path / "memories"), set(checkpoint._named)
+    source = str(tmp_path / "arriving")
+    spark.createDataFrame([("a text", "fact", i) for i in range(4)], "content string, memory_type string, n long").write.parquet(source)
+    stream = spark.readStream.schema("content string, memory_type string, n long").parquet(source)
+    finish(jobs.ingest_stream(stream, root, NativeHashingEmbedder(4), order_by=["n"]), tmp_path)
+    assert len(ids(spark, root)) == 1 and set(checkpoint._named) == named
+
+
 def test_a_text_that_was_removed_comes_in_again(spark, tmp_path):
     schema, root, source = "content string, memory_type string, user_id string, n long", str(tmp_path / "memories"), str(tmp_path / "in")
 
