@@ -437,3 +437,38 @@ def test_passages_aside_are_brought_together_once(spark, monkeypatch):
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
     got = {(r.doc_id, r.match_id) for r in passages.near_duplicate_passages(frame).collect()}
     assert {(i, 0) for i in range(1, 60)} <= got and (121, 120) in got and {x for p in got for x in p} == {*range(60), 120, 121}
+
+
+def test_passages_of_connected_documents_are_all_found(spark):
+    """Documents that hang together by another passage, and whose common line is in an earlier text, too, which is not similar."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10**6, n)]
+    licence, texts = prose(60), {}
+    for _ in range(12):
+        before, line = prose(18), prose(32)
+        texts[len(texts)] = prose(40) + line + prose(40) + licence + prose(20)
+        for _ in range(4):
+            texts[len(texts)] = prose(30) + before + prose(1) + line + prose(40) + licence + prose(10)
+    hashes = {i: passages.shingle_hashes(" ".join(t)) for i, t in texts.items()}
+    wanted = [(b, *x) for b in texts for a in texts if a < b for x in passages.common_passages(hashes[b], hashes[a])]
+    found = passages.near_duplicate_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    rows = {}
+    for r in found:
+        rows.setdefault(r.doc_id, []).append((r.first_word, r.end_word))
+    missed = [(b, x) for b, *x in wanted if sum(any(f <= w < e for f, e in rows.get(b, [])) for w in range(x[0], x[1])) < 0.8 * (x[1] - x[0])]
+    assert len({b for b, first, *_ in wanted if first < 60}) >= 30 and not missed
+    # A line or a licence is no reason to report all pairs.
+    assert len(found) <= 4 * len(texts)
+
+
+def test_lines_of_many_texts_pair_no_texts(monkeypatch):
+    """Texts with a line in common are not compared, and nothing is counted for each pair of them."""
+    rng = np.random.default_rng(13)
+    line = rng.integers(0, 1 << 60, 24).astype(np.uint64)
+    texts = [np.concatenate((rng.integers(0, 1 << 60, 60).astype(np.uint64), line, rng.integers(0, 1 << 60, 60).astype(np.uint64))) for _ in range(400)]
+    texts.append(texts[7].copy())
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: counted.append(len(x)) or bincount(x, *a))
+    found = passages._links([(aside, i, i, t) for aside in (True, False) for i, t in enumerate(texts)])
+    assert {x[:2] for x in found} == {(400, 7)}
+    assert sum(counted) < 2 * sum(map(len, texts))
